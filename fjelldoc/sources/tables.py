@@ -16,6 +16,7 @@ BASE = (
 ).split()
 
 
+HEADING_TOPICS = ("Metode", "Konsekvens", "Bakgrunn", "Usikkerhet", "Landskap")
 TEXT_HEAVY = ("documents", "pages", "conversations")
 
 
@@ -63,6 +64,45 @@ class Tables:
             F.timestamp_seconds(F.lit(1704067200) + minutes + F.col("n_chars")).alias("updated_at"),
         )
 
+    @cached_property
+    def blocks(self) -> DataFrame:
+        """Text blocks: one per document line; some lines get a numbered heading in front."""
+        lines = self.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("block_ix", "line"))
+        ix = F.col("block_ix")
+        topic = F.element_at(F.array(*[F.lit(x) for x in HEADING_TOPICS]), ix % 5 + 1)
+        number = F.concat(
+            (F.floor(ix / 4) % 9 + 1).cast("string"),
+            F.when(ix % 20 == 4, F.concat(F.lit("."), (ix % 3 + 1).cast("string"))).otherwise(F.lit("")),
+        )
+        heading = F.concat_ws(
+            " ", number, topic, F.lit("Alternativ"), (ix % 3).cast("string"), F.concat(F.lit("N0"), (ix % 7).cast("string")), "line"
+        )
+        return lines.select(
+            "doc_id",
+            "block_ix",
+            F.when((ix % 20).isin(2, 4), heading).otherwise(F.col("line")).alias("text"),
+            (F.floor(ix / 8) + 1).cast("int").alias("page"),
+            F.when(ix % 11 == 5, F.lit(14.0)).otherwise(F.lit(10.0) + (F.length("line") % 3) * 0.5).alias("font_size"),
+            (ix % 13 == 7).alias("is_bold"),
+        )
+
+    @cached_property
+    def blobs(self) -> DataFrame:
+        """Files found in the store: every document file, some of them changed, and one new file per page."""
+        known = self.documents.select(
+            F.concat_ws("", "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("name"),
+            F.timestamp_seconds(
+                F.lit(1704067200) + F.col("doc_id") * 60 + F.when(F.col("n_chars") % 5 == 0, 30).otherwise(0)
+            ).alias("last_modified"),
+            F.when(F.col("n_chars") % 3 == 0, F.md5("text")).otherwise(F.sha2("text", 256)).alias("file_hash"),
+        )
+        new = self.pages.select(
+            F.concat(F.lit("web/"), F.col("page_id").cast("string"), F.lit(".pdf")).alias("name"),
+            F.timestamp_seconds(F.lit(1706745600) + F.col("page_id")).alias("last_modified"),
+            F.sha2("html", 256).alias("file_hash"),
+        )
+        return known.unionByName(new)
+
     @cached_property
     def chunks(self) -> DataFrame:
         """Chunk vectors: ten consecutive vectors belong to one document."""
@@ -97,6 +137,15 @@ class Tables:
             F.timestamp_seconds(at).alias("created_at"),
         )
 
+    @cached_property
+    def chats(self) -> DataFrame:
+        """One chat per conversation; seven owners."""
+        per = self.messages.groupBy("chat_id").agg(
+            F.min("created_at").alias("created_at"), F.max("created_at").alias("updated_at"), F.min_by("content", "seq").alias("first")
+        )
+        owner = F.concat(F.lit("user-"), (F.col("chat_id") % 7).cast("string"))
+        return per.select("chat_id", owner.alias("user_id"), F.split_part("first", F.lit("\n"), F.lit(1)).alias("title"), "created_at", "updated_at")
+
     @cached_property
     def events_in(self) -> DataFrame:
         """Usage events: the chat is the user, the turn is the day, the call id is `props.k`."""
@@ -193,6 +242,23 @@ DERIVED_SQL: dict[str, str] = {
                sha256(text) AS file_hash,
                TIMESTAMP '2024-01-01' + doc_id * INTERVAL 1 MINUTE + n_chars * INTERVAL 1 SECOND AS updated_at
         FROM documents""",
+    "block_lines": "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ix FROM documents",
+    "blocks": """
+        SELECT doc_id, ix::INTEGER AS block_ix,
+          CASE WHEN ix % 20 IN (2, 4) THEN (ix // 4 % 9 + 1) || CASE WHEN ix % 20 = 4 THEN '.' || (ix % 3 + 1) ELSE '' END || ' '
+            || ['Metode', 'Konsekvens', 'Bakgrunn', 'Usikkerhet', 'Landskap'][ix % 5 + 1] || ' Alternativ ' || (ix % 3) || ' N0' || (ix % 7) || ' ' || line
+            ELSE line END AS text,
+          (ix // 8 + 1)::INTEGER AS page, CASE WHEN ix % 11 = 5 THEN 14e0 ELSE 10e0 + length(line) % 3 * 0.5e0 END AS font_size, ix % 13 = 7 AS is_bold
+        FROM block_lines""",
+    "blobs": """
+        SELECT source || '/' || doc_id || '.pdf' AS name,
+               TIMESTAMP '2024-01-01' + (doc_id * 60 + CASE WHEN n_chars % 5 = 0 THEN 30 ELSE 0 END) * INTERVAL 1 SECOND AS last_modified,
+               CASE WHEN n_chars % 3 = 0 THEN md5(text) ELSE sha256(text) END AS file_hash FROM documents
+        UNION ALL
+        SELECT 'web/' || page_id || '.pdf', TIMESTAMP '2024-02-01' + page_id * INTERVAL 1 SECOND, sha256(html) FROM pages""",
+    "chats": """
+        SELECT chat_id, 'user-' || (chat_id % 7) AS user_id, split_part(arg_min(content, seq), chr(10), 1) AS title,
+               min(created_at) AS created_at, max(created_at) AS updated_at FROM messages GROUP BY chat_id""",
     "chunks": "SELECT vec_id AS chunk_id, vec_id // 10 AS document_id, embedding, label FROM embeddings",
     "qwords": r"""
         SELECT item_id, w, row_number() OVER (PARTITION BY item_id ORDER BY length(w) DESC, i) AS r
@@ -242,7 +308,7 @@ DERIVED_SQL: dict[str, str] = {
         FROM layer_geo""",
 }
 
-_NEEDS = {"queries": ["qwords"], "layer_geo": ["layer_coords"], "layers": ["layer_geo"]}
+_NEEDS = {"queries": ["qwords"], "layer_geo": ["layer_coords"], "layers": ["layer_geo"], "chats": ["messages"], "blocks": ["block_lines"]}
 
 
 def with_tables(*names: str, body: str = "") -> str:
