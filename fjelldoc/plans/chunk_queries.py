@@ -61,10 +61,10 @@ _TOPICS = " ".join(
 )
 PATHS = SECTIONS + """,
   labelled AS (SELECT *, CASE WHEN number <> '' THEN number || ' ' || title ELSE title END AS label FROM sections),
-  ancestors AS (SELECT s.doc_id, s.section, a.depth AS d, a.label, a.section AS at FROM labelled s JOIN labelled a
+  ancestors AS (SELECT s.doc_id, s.section, a.depth AS d, a.label, a.section AS asec FROM labelled s JOIN labelled a
      ON a.doc_id = s.doc_id AND a.section < s.section AND a.named AND (NOT s.named OR a.depth < s.depth)
      WHERE NOT EXISTS (SELECT 1 FROM labelled b WHERE b.doc_id = s.doc_id AND b.named AND b.section > a.section AND b.section < s.section AND b.depth <= a.depth)),
-  trails AS (SELECT doc_id, section, string_agg(label, ' > ' ORDER BY at) AS trail FROM ancestors GROUP BY doc_id, section),
+  trails AS (SELECT doc_id, section, string_agg(label, ' > ' ORDER BY asec) AS trail FROM ancestors GROUP BY doc_id, section),
   paths AS (SELECT l.*, concat_ws(' > ', trail, CASE WHEN named THEN label END) AS heading_path FROM labelled l LEFT JOIN trails USING (doc_id, section))"""
 
 
