@@ -46,7 +46,8 @@ def geometry(g: Column) -> Column:
 
 def vertices(g: Column) -> Column:
     """Every coordinate pair of a geometry of any type and nesting, in text order."""
-    innermost = F.regexp_extract_all(g, F.lit(r"\[[^\[\]{}a-zA-Z\"]*[0-9][^\[\]{}a-zA-Z\"]*\]"), F.lit(0))
+    source = F.coalesce(_json(g, "$.coordinates"), _json(g, "$.geometries"), g)
+    innermost = F.regexp_extract_all(source, F.lit(r"\[\s*-?[0-9][-+0-9.eE,\s]*\]"), F.lit(0))
     return _points(F.from_json(F.concat(F.lit("["), F.array_join(innermost, ","), F.lit("]")), "array<array<double>>"))
 
 

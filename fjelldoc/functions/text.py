@@ -64,12 +64,19 @@ def js_round(x: Column) -> Column:
     return F.floor(x + 0.5)
 
 
+def one_decimal(x: Column) -> Column:
+    """One decimal, exact ties upwards; the fraction is split off first so that the stored binary value decides."""
+    whole = F.floor(x)
+    tenths = whole * 10 + F.floor((x - whole) * 10 + 0.5)
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+
 def short_number(n: Column) -> Column:
     """1.2M, 3.4K, or the rounded number; null shows as 0."""
     return (
         F.when(n.isNull(), F.lit("0"))
-        .when(n >= 1_000_000, F.format_string("%.1fM", n / 1_000_000))
-        .when(n >= 1_000, F.format_string("%.1fK", n / 1_000))
+        .when(n >= 1_000_000, F.concat(one_decimal(n / 1_000_000), F.lit("M")))
+        .when(n >= 1_000, F.concat(one_decimal(n / 1_000), F.lit("K")))
         .otherwise(js_round(n).cast("string"))
     )
 
