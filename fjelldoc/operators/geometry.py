@@ -142,11 +142,15 @@ def nearest_item(points: DataFrame, items: DataFrame, distance: Column, item_id:
     every join is small at the top and fine-grained at the bottom. Equal distances go to the lower id.
     """
     placed = items.withColumn("cx0", (F.col("min_x") + F.col("max_x")) / 2).withColumn("cy0", (F.col("min_y") + F.col("max_y")) / 2)
-    frontier = points.select(point_id, "x", "y").withColumn("px", F.lit(0).cast("bigint")).withColumn("py", F.lit(0).cast("bigint"))
+    half = float(1 << (WORLD_BITS - 1))
+    world = float(1 << WORLD_BITS)
+    frontier = points.select(point_id, "x", "y").withColumn("px", F.floor((F.col("x") + half) / world)).withColumn("py", F.floor((F.col("y") + half) / world))
     parent = WORLD_BITS
     w = Window.partitionBy(point_id)
     for bits in LEVEL_BITS:
         cells = _box_cells(placed, bits, parent)
+        if parent == WORLD_BITS:
+            cells = F.broadcast(cells)  # at most 16 x 16 cells inside the world cell
         near = frontier.join(cells, ["px", "py"])
         near = near.withColumn("_lo", F.hypot(_gap("x", "bx0", "bx1"), _gap("y", "by0", "by1"))).withColumn(
             "_hi", F.hypot(_reach("x", "bx0", "bx1"), _reach("y", "by0", "by1"))
@@ -154,7 +158,6 @@ def nearest_item(points: DataFrame, items: DataFrame, distance: Column, item_id:
         kept = near.withColumn("_best", F.min("_hi").over(w)).filter(F.col("_lo") <= F.col("_best"))
         frontier = kept.select(point_id, "x", "y", F.col("kx").alias("px"), F.col("ky").alias("py"))
         parent = bits
-    half = float(1 << (WORLD_BITS - 1))
     leaf = placed.withColumn("px", F.floor((F.col("cx0") + half) / (1 << parent))).withColumn("py", F.floor((F.col("cy0") + half) / (1 << parent)))
     found = frontier.join(leaf, ["px", "py"]).withColumn("distance", F.round(distance, 6))
     return found.groupBy(point_id).agg(F.min(F.struct("distance", item_id)).alias("_m")).select(

@@ -34,10 +34,12 @@ def usable_queries(queries: DataFrame) -> DataFrame:
 # -- full text ---------------------------------------------------------------
 
 
-def build_postings(docs: DataFrame, config: str = "simple") -> DataFrame:
+def build_postings(docs: DataFrame, config: str = "simple", terms: DataFrame | None = None) -> DataFrame:
     """One row per (id, lexeme, weight, pos); no shuffle, each document is expanded in place.
 
     Title positions carry weight A; content positions carry weight B and continue after the title.
+    With `terms` only words that can become one of those lexemes are kept: stemming never changes
+    the first three letters, so a semi-join on them comes before the stemmer.
     """
     base = docs.select("id", "title", "content", lx.last_title_position(F.col("title"), config).alias("last"))
 
@@ -46,6 +48,9 @@ def build_postings(docs: DataFrame, config: str = "simple") -> DataFrame:
         return tokens.select("id", "lexeme", F.lit(weight).alias("weight"), (F.col("at") + 1 + offset).alias("pos"))
 
     both = part("title", "A", F.lit(0)).unionByName(part("content", "B", F.col("last")))
+    if terms is not None:
+        heads = terms.select(F.left("lexeme", F.lit(3)).alias("_head")).distinct()
+        both = both.withColumn("_head", F.left("lexeme", F.lit(3))).join(heads, "_head", "left_semi").drop("_head")
     return lx.normalise_lexemes(both, config)
 
 
@@ -56,9 +61,8 @@ def write_postings(postings: DataFrame, table: str, buckets: int = 512) -> None:
 
 def query_terms(queries: DataFrame, config: str = "simple") -> DataFrame:
     tokens = usable_queries(queries).select("query_id", F.explode(lx.words(F.col("query"))).alias("lexeme"))
-    terms = lx.normalise_lexemes(tokens, config).distinct()
-    counts = terms.groupBy("query_id").agg(F.count("*").alias("n_terms"))
-    return terms.join(counts, "query_id")
+    terms = lx.normalise_lexemes(tokens, config).groupBy("query_id").agg(F.collect_set("lexeme").alias("terms"))
+    return terms.select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("lexeme"))
 
 
 def full_text_scores(postings: DataFrame, queries: DataFrame, config: str = "simple") -> DataFrame:
@@ -79,7 +83,8 @@ def search_full_text(
 ) -> DataFrame:
     """Rank on ids first; text is read back only for the rows that are returned."""
     found = searchable(docs)
-    hits = top_k(full_text_scores(build_postings(found, config), queries, config), "query_id", "score", "id", limit)
+    postings = build_postings(found, config, query_terms(queries, config) if config != "simple" else None)
+    hits = top_k(full_text_scores(postings, queries, config), "query_id", "score", "id", limit)
     return with_text(hits, found)
 
 

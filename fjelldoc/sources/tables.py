@@ -17,7 +17,7 @@ BASE = (
 
 
 HEADING_TOPICS = ("Metode", "Konsekvens", "Bakgrunn", "Usikkerhet", "Landskap")
-TEXT_HEAVY = ("documents", "pages", "conversations")
+COSTLY_ROWS = ("documents", "pages", "conversations", "customer")
 
 
 def spread_small(df: DataFrame) -> DataFrame:
@@ -37,7 +37,7 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE:
             df = self.spark.read.parquet(f"{self.path}/{name}.parquet")
-            return spread_small(df) if name in TEXT_HEAVY else df
+            return spread_small(df) if name in COSTLY_ROWS else df
         raise AttributeError(name)
 
     # -- documents ---------------------------------------------------------
