@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fjelldoc.functions.headings import stripped
+
 # Row cap of ad-hoc queries, preview rows, tool hints per message.
 ADHOC_ROWS = 200
 PEEK_ROWS = 5
@@ -52,7 +54,7 @@ def sort_by_name(tools: DataFrame) -> DataFrame:
 
 def known_hints(hints: Column, allowed: list[str]) -> Column:
     """Trimmed known hints, first occurrences only, at most ten."""
-    kept = F.filter(F.transform(hints, lambda h: F.trim(h)), lambda h: h.isin(allowed))
+    kept = F.filter(F.transform(hints, stripped), lambda h: h.isin(allowed))
     return F.slice(F.array_distinct(kept), 1, MAX_HINTS)
 
 

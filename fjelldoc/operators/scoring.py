@@ -19,14 +19,16 @@ from pyspark.sql.window import Window
 Scorer = Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]
 
 MAX_QUERIES_PER_TASK = 2048
+MAX_QUERY_BYTES = 64 * 1024 * 1024
 ITEMS_PER_GROUP = 20_000
 
 
 def score_batches(
     items: DataFrame, queries: DataFrame, scorer: Scorer, schema: str, max_queries: int = MAX_QUERIES_PER_TASK
 ) -> DataFrame:
-    small = queries.limit(max_queries + 1).toPandas()
-    if len(small) <= max_queries:
+    size = queries.agg(F.count("*").alias("n"), F.sum(F.length(F.to_json(F.struct(*queries.columns)))).alias("b")).first()
+    if size.n <= max_queries and (size.b or 0) <= MAX_QUERY_BYTES:
+        small = queries.toPandas()
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
@@ -34,7 +36,7 @@ def score_batches(
 
         return items.mapInPandas(scan, schema)
 
-    n_blocks = math.ceil(queries.count() / max_queries)
+    n_blocks = max(math.ceil(size.n / max_queries), math.ceil(size.b / MAX_QUERY_BYTES))
     n_groups = max(1, math.ceil(items.count() / ITEMS_PER_GROUP))
 
     def spread(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:

@@ -168,6 +168,12 @@ def merge_semantic(chunk_hits: DataFrame, doc_hits: DataFrame, limit: int = DEFA
     return top_k(both, "query_id", "score", "id", limit)
 
 
+def with_chunk(hits: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataFrame:
+    """Title, whole chunk text and section fields of the returned hits only."""
+    fields = chunks.drop("embedding", "document_id")
+    return hits.join(docs.select("id", "title"), "id").join(fields, "chunk_id", "left")
+
+
 # -- trigrams ----------------------------------------------------------------
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fjelldoc.operators import chats, keyed, usage
-from fjelldoc.operators.ordered import latest
+from fjelldoc.operators.ordered import latest, numbered
 from fjelldoc.plans.registry import query
 from fjelldoc.sources.tables import Tables, with_tables
 
@@ -55,8 +55,6 @@ def recent_chats(t: Tables):
     own = t.chats.withColumn("bucket", F.col("user_id"))
     ordered = own.orderBy("user_id", F.col("updated_at").desc(), "chat_id").select("user_id", "chat_id", "title", "updated_at")
     zipped = ordered.select("*", F.monotonically_increasing_id().alias("_m"))
-    from fjelldoc.operators.ordered import numbered
-
     placed = numbered(zipped.withColumn("_all", F.lit(1)), ["_all"], F.shiftright("_m", 33), [F.col("_m")], "place")
     return placed.select("user_id", "chat_id", "title", stamp("updated_at").alias("updated_at"), "place")
 
@@ -198,8 +196,6 @@ def layer_validation(t: Tables):
   SELECT chat_id, CASE WHEN n > 200 THEN 'Too many layers (max 200).' ELSE 'Layer ' || ix || ': ' || e END AS error
   FROM sizes LEFT JOIN bad USING (chat_id) WHERE n > 200 OR e IS NOT NULL""")
 def bulk_layer_errors(t: Tables):
-    from fjelldoc.operators.ordered import numbered
-
     digits = F.regexp_extract("layer_id", "^drawn-([0-9]{1,2})", 1)
     placed = numbered(stored_layers(t), ["chat_id"], F.rpad(digits, 2, " "), [F.col("layer_id")], "ix")
     return keyed.bulk_request_errors(placed.withColumn("ix", F.col("ix") - 1))
@@ -269,7 +265,7 @@ def bulk_chat_delete(t: Tables):
 @query(with_tables("chats", "chunks", "docs", "layers") + """
   SELECT 'layers.chat_id' AS fk, chat_id AS key, count(*) AS n FROM layers WHERE chat_id NOT IN (SELECT chat_id FROM chats) GROUP BY chat_id
   UNION ALL SELECT 'chunks.document_id', document_id, count(*) FROM chunks WHERE document_id NOT IN (SELECT id FROM docs) GROUP BY document_id
-  UNION ALL SELECT 'labels.doc_id', l_orderkey, count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT id FROM docs) GROUP BY l_orderkey""")
+  UNION ALL SELECT 'lineitem.l_orderkey', l_orderkey, count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT id FROM docs) GROUP BY l_orderkey""")
 def referential_audit(t: Tables):
     def count(df, fk, key):
         return df.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n")).select(F.lit(fk).alias("fk"), "key", "n")
@@ -277,7 +273,7 @@ def referential_audit(t: Tables):
     return (
         count(keyed.orphans(t.layers, t.chats, "chat_id", "chat_id"), "layers.chat_id", "chat_id")
         .unionByName(count(keyed.orphans(t.chunks, t.docs, "document_id", "id"), "chunks.document_id", "document_id"))
-        .unionByName(count(keyed.orphans(t.lineitem, t.docs, "l_orderkey", "id"), "labels.doc_id", "l_orderkey"))
+        .unionByName(count(keyed.orphans(t.lineitem, t.docs, "l_orderkey", "id"), "lineitem.l_orderkey", "l_orderkey"))
     )
 
 
@@ -343,7 +339,5 @@ def sse_assembly(t: Tables):
   SELECT chat_id, layer_id, name, row_number() OVER (PARTITION BY chat_id ORDER BY key) AS place FROM layers WHERE geojson IS NOT NULL""")
 def pending_shapes(t: Tables):
     """Shapes waiting per session in the order they were drawn, one row each."""
-    from fjelldoc.operators.ordered import numbered
-
     drawn = t.layers.filter(F.col("geojson").isNotNull())
     return numbered(drawn, ["chat_id"], F.floor(F.col("key") / 65536), [F.col("key")], "place").select("chat_id", "layer_id", "name", "place")

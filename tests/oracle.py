@@ -24,7 +24,7 @@ def _plain(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return float(f"{v:.9g}") + 0.0
+        return v + 0.0
     if isinstance(v, decimal.Decimal):
         return float(v)
     if isinstance(v, (dt.date, dt.datetime)):
