@@ -14,7 +14,7 @@ def exportable(layers: DataFrame) -> DataFrame:
 
 def layer_features(layers: DataFrame) -> DataFrame:
     """One row per feature with geometry, decorated with an id and the layer's export properties."""
-    rows = exportable(layers).select("*", F.posexplode(geojson.features(F.col("geojson"))).alias("feature_ix", "feature"))
+    rows = exportable(layers).select("*", F.posexplode_outer(geojson.features(F.col("geojson"))).alias("feature_ix", "feature"))
     fields = rows.select(
         *layers.columns,
         "feature_ix",
@@ -90,7 +90,7 @@ def export_totals(records: DataFrame) -> DataFrame:
 
 def vertices(features: DataFrame, *keys: str) -> DataFrame:
     """One row per coordinate pair."""
-    rows = features.select(*keys, F.explode(geojson.vertices(F.col("geometry"))).alias("v"))
+    rows = features.select(*keys, F.explode_outer(geojson.vertices(F.col("geometry"))).alias("v")).filter("v IS NOT NULL")
     return rows.select(*keys, F.col("v.x").alias("x"), F.col("v.y").alias("y"))
 
 
@@ -180,8 +180,9 @@ def tile_cover(projectors: DataFrame, key: str, template: str) -> DataFrame:
         F.greatest(geo.tile_y(vb[3], F.col("zoom")) - 1, F.lit(0).cast("bigint")).alias("y0"),
         F.least(geo.tile_y(vb[1], F.col("zoom")) + 1, n - 1).alias("y1"),
     )
-    cells = spans.filter("y0 <= y1").select(key, "zoom", "n", F.explode(F.sequence("x0", "x1")).alias("tx"), "y0", "y1")
-    cells = cells.select(key, "zoom", F.pmod("tx", "n").alias("x"), "tx", F.explode(F.sequence("y0", "y1")).alias("y"))
+    rows = F.when(F.col("y0") <= F.col("y1"), F.sequence("y0", "y1"))
+    cells = spans.select(key, "zoom", "n", F.explode_outer(F.sequence("x0", "x1")).alias("tx"), rows.alias("rows"))
+    cells = cells.select(key, "zoom", F.pmod("tx", "n").alias("x"), "tx", F.explode_outer("rows").alias("y")).filter("y IS NOT NULL")
     url = F.lit(template)
     for mark, value in (("{z}", "zoom"), ("{x}", "x"), ("{y}", "y")):
         url = F.replace(url, F.lit(mark), F.col(value).cast("string"))

@@ -23,7 +23,13 @@ SALTS = 8
 
 
 def project_points(df: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:
-    return df.withColumn("_p", geo.project_point(F.col(lon), F.col(lat))).withColumn("x", F.col("_p.x")).withColumn("y", F.col("_p.y")).drop("_p")
+    """Adds x and y in metres.
+
+    The position is unnested from a one-element array: filters on x or y then stay above it, so
+    the projection is evaluated once per row however often later operators use the result.
+    """
+    placed = df.select("*", F.explode_outer(geo.project_vertices(F.array(geo.point(F.col(lon), F.col(lat))))).alias("_p"))
+    return placed.withColumn("x", F.col("_p.x")).withColumn("y", F.col("_p.y")).drop("_p")
 
 
 def with_extent(df: DataFrame, rings: str = "rings", is_area: Column | None = None) -> DataFrame:
@@ -49,8 +55,8 @@ def _cell(v: Column, size: float) -> Column:
 def _covering_cells(df: DataFrame, size: float, margin: Column | float = 0.0) -> DataFrame:
     """One row per grid cell that the (widened) bounding box touches."""
     m = margin if isinstance(margin, Column) else F.lit(float(margin))
-    return df.withColumn("cx", F.explode(F.sequence(_cell(F.col("min_x") - m, size), _cell(F.col("max_x") + m, size)))).withColumn(
-        "cy", F.explode(F.sequence(_cell(F.col("min_y") - m, size), _cell(F.col("max_y") + m, size)))
+    return df.withColumn("cx", F.explode_outer(F.sequence(_cell(F.col("min_x") - m, size), _cell(F.col("max_x") + m, size)))).withColumn(
+        "cy", F.explode_outer(F.sequence(_cell(F.col("min_y") - m, size), _cell(F.col("max_y") + m, size)))
     )
 
 

@@ -137,7 +137,8 @@ class RunResult:
 
 def fallback_vectors(texts: DataFrame, embedder: Embedder) -> DataFrame:
     """Document vector = mean of the vectors of fixed-size windows of the text."""
-    windows = texts.filter(F.trim("content") != "").select("doc_id", F.explode(fixed_windows(F.col("content"))).alias("text"))
+    windows = texts.filter(F.trim("content") != "").select("doc_id", F.explode_outer(fixed_windows(F.col("content"))).alias("text"))
+    windows = windows.filter("text IS NOT NULL")
     return mean_vector(embed_texts(windows, embedder), "doc_id", "embedding", "doc_vector")
 
 

@@ -38,13 +38,14 @@ def build_postings(docs: DataFrame, config: str = "simple", terms: DataFrame | N
     """One row per (id, lexeme, weight, pos); no shuffle, each document is expanded in place.
 
     Title positions carry weight A; content positions carry weight B and continue after the title.
+    The outer form of explode keeps the optimizer from adding a size filter that would tokenise twice.
     With `terms` only words that can become one of those lexemes are kept: stemming never changes
     the first three letters, so a semi-join on them comes before the stemmer.
     """
     base = docs.select("id", "title", "content", lx.last_title_position(F.col("title"), config).alias("last"))
 
     def part(text: str, weight: str, offset) -> DataFrame:
-        tokens = base.select("id", "last", F.posexplode(lx.words(F.col(text))).alias("at", "lexeme"))
+        tokens = base.select("id", "last", F.posexplode_outer(lx.words(F.col(text))).alias("at", "lexeme")).filter("lexeme IS NOT NULL")
         return tokens.select("id", "lexeme", F.lit(weight).alias("weight"), (F.col("at") + 1 + offset).alias("pos"))
 
     both = part("title", "A", F.lit(0)).unionByName(part("content", "B", F.col("last")))
@@ -180,7 +181,7 @@ def with_chunk(hits: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataFrame
 def title_similarity(docs: DataFrame, queries: DataFrame, threshold: float = FUZZY_THRESHOLD) -> DataFrame:
     """(query_id, id, similarity) above the threshold, found through shared title trigrams only."""
     title = docs.select("id", trigram_set(F.col("title")).alias("g")).select(
-        "id", F.size("g").alias("n_title"), F.explode("g").alias("gram")
+        "id", F.size("g").alias("n_title"), F.explode_outer("g").alias("gram")
     )
     asked = (
         usable_queries(queries)

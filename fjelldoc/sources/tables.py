@@ -67,7 +67,7 @@ class Tables:
     @cached_property
     def blocks(self) -> DataFrame:
         """Text blocks: one per document line; some lines get a numbered heading in front."""
-        lines = self.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("block_ix", "line"))
+        lines = self.documents.select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("block_ix", "line"))
         ix = F.col("block_ix")
         topic = F.element_at(F.array(*[F.lit(x) for x in HEADING_TOPICS]), ix % 5 + 1)
         number = F.concat(
