@@ -6,8 +6,6 @@ shares a cell. Where both sides can be large, a salt spreads the points of a cro
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -190,7 +188,3 @@ def seed_statistics(seeds: DataFrame) -> DataFrame:
     return seeds.agg(
         F.count_if(usable).alias("seed_count"), F.count_distinct(F.when(usable, F.struct("x", "y"))).alias("distinct_seed_count")
     )
-
-
-def turns_per_quarter(angle: float) -> int:
-    return max(1, int(angle / (math.pi / 2 / geo.QUARTER_SEGMENTS) + 0.5))

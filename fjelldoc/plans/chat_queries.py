@@ -52,8 +52,7 @@ def activity_sessions(t: Tables):
   SELECT user_id, chat_id, title, {stamp_sql('updated_at')} AS updated_at, row_number() OVER (ORDER BY user_id, updated_at DESC, chat_id) AS place FROM chats""")
 def recent_chats(t: Tables):
     """Chats per owner, newest first; `place` records the total order of the sorted result."""
-    own = t.chats.withColumn("bucket", F.col("user_id"))
-    ordered = own.orderBy("user_id", F.col("updated_at").desc(), "chat_id").select("user_id", "chat_id", "title", "updated_at")
+    ordered = t.chats.orderBy("user_id", F.col("updated_at").desc(), "chat_id").select("user_id", "chat_id", "title", "updated_at")
     zipped = ordered.select("*", F.monotonically_increasing_id().alias("_m"))
     placed = numbered(zipped.withColumn("_all", F.lit(1)), ["_all"], F.shiftright("_m", 33), [F.col("_m")], "place")
     return placed.select("user_id", "chat_id", "title", stamp("updated_at").alias("updated_at"), "place")
