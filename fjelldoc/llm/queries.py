@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fjelldoc.llm import packing, quality_rules, rule_ensemble, shard_tree, token_counts, training_order
+from fjelldoc.llm import decontaminate, ngram_join, packing, quality_rules, rule_ensemble, shard_tree, token_counts, training_order
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,3 +64,15 @@ def op10_rule_ensemble(spark, sf_dir):
     docs, labels = (table(spark, sf_dir, name) for name in ("documents", "labels"))
     scored = rule_ensemble.score(docs, rule_ensemble.fit(docs, labels), "doc_id")
     return scored.select("doc_id", rule_ensemble.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op1_block_max_wand(spark, sf_dir):
+    """Verified benchmark leaks of all documents, one row per document and item."""
+    return decontaminate.found_leaks(*(table(spark, sf_dir, name) for name in ("documents", "benchmark")))
+
+
+@query
+def op9_ngram_jaccard_join(spark, sf_dir):
+    """Components of documents whose 3-word shingle sets have a Jaccard similarity of 0.9 or more."""
+    return ngram_join.near_components(table(spark, sf_dir, "documents"))
