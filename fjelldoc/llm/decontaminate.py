@@ -20,6 +20,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,9 +30,9 @@ from fjelldoc.llm.common import bounded_batches
 PART_WORDS = 1_000_000
 K1, B = 1.2, 0.75
 #: Share of an item's BM25 mass that retrieves it, and shares of its question's and answer's word sequences that confirm it.
-RETRIEVE, QUESTION, ANSWER = 0.4, 0.6, 0.6
+RETRIEVE, QUESTION, ANSWER = 0.6, 0.6, 0.6
 SEQUENCE = 5
-BLOCK = 16
+BLOCK = 4
 LEAK = "array<struct<item_id:bigint,score:double,question:double,answer:double,first_word:bigint>>"
 
 _word = re.compile(r"\w+")
@@ -76,6 +77,7 @@ class Index:
             if own:
                 self.items.append(Item(item_id, sequences(question), sequences(answer), own))
                 self.longest = max(self.longest, sum(own.values()))
+        self.items.sort(key=lambda item: (sum(item.counts.values()), item.item_id))  # items of one block have like impacts
         self.terms: dict[str, int] = {}
         postings: list[list[tuple[int, float]]] = []
         for number, item in enumerate(self.items):
@@ -135,34 +137,48 @@ class Index:
                         break
                     at[i] = bisect_left(lists[i][1], pivot, at[i])
 
-    def leaks(self, text: str, threshold: float, question: float, answer: float) -> list[dict]:
-        """Verified items of one text, each with its best passage."""
+    def leaks(self, texts: list[str | None], threshold: float, question: float, answer: float) -> list[list[dict]]:
+        """Verified items of each text, each with its best passage; the bounds of all texts are made at once.
+
+        A passage is a step of as many words as the longest item has, and the step after it, so any run of
+        that many words lies whole in one passage.
+        """
         np = self.np
-        found = words(text)
-        if not found or not self.items:
-            return []
-        absent = len(self.terms)
-        ids = np.fromiter(map(lambda w: self.terms.get(w, absent), found), dtype=np.int64, count=len(found))
-        if (ids == absent).all():
-            return []
-        step = self.longest  # an item lies whole in one of the passages of two steps
-        sums = np.add.reduceat(self.maxima[ids], np.arange(0, len(ids), step), axis=0)
-        bounds = sums.copy()
-        bounds[:-1] += sums[1:]
-        best: dict[int, dict] = {}
-        for passage, block in zip(*np.nonzero(bounds >= threshold), strict=True):
-            first = int(passage) * step
-            own = ids[first : first + 2 * step]
-            terms = np.unique(own[own < absent]).tolist()
+        step, absent = max(1, self.longest), len(self.terms)
+        found = [words(t) if t else [] for t in texts]
+        out: list[dict[int, dict]] = [{} for _ in texts]
+        lengths = np.array([len(f) for f in found], dtype=np.int64)
+        if not self.items or not lengths.sum():
+            return [[] for _ in texts]
+        ids = np.fromiter(map(self.terms.get, chain.from_iterable(found), repeat(absent)), dtype=np.int64, count=int(lengths.sum()))
+        steps = -(-lengths // step)
+        starts, first_step = np.cumsum(lengths) - lengths, np.cumsum(steps) - steps
+        text_of = np.repeat(np.arange(len(texts)), lengths)
+        place = np.flatnonzero(ids < absent)
+        within = (place - starts[text_of[place]]) // step
+        here, width = first_step[text_of[place]] + within, absent + 1
+        inner = within > 0
+        own = np.unique(np.concatenate([here * width + ids[place], (here[inner] - 1) * width + ids[place][inner]]))  # each term once a passage
+        if not len(own):
+            return [[] for _ in texts]
+        at, first = np.unique(own // width, return_index=True)
+        bounds = np.add.reduceat(self.maxima[own % width], first, axis=0)
+        ends = np.append(first[1:], len(own))
+        for row, block in zip(*np.nonzero(bounds >= threshold), strict=True):
+            passage = int(at[row])
+            text = int(np.searchsorted(first_step, passage, side="right")) - 1
+            start = (passage - int(first_step[text])) * step
+            terms = (own[first[row] : ends[row]] % width).tolist()
             held = None
             for number, score in self.block_walk(terms, int(block), threshold):
-                held = held if held is not None else sequences(found[first : first + 2 * step])
-                item = self.items[number]
-                q = self._share(item.question, held, found[first : first + 2 * step])
-                a = self._share(item.answer, held, found[first : first + 2 * step]) if item.answer else 1.0
+                own_words = found[text][start : start + 2 * step]
+                held = held if held is not None else sequences(own_words)
+                item, best = self.items[number], out[text]
+                q = self._share(item.question, held, own_words)
+                a = self._share(item.answer, held, own_words) if item.answer else 1.0
                 if q >= question and a >= answer and (number not in best or score > best[number]["score"]):
-                    best[number] = {"item_id": item.item_id, "score": score, "question": q, "answer": a, "first_word": first}
-        return [best[n] for n in sorted(best)]
+                    best[number] = {"item_id": item.item_id, "score": score, "question": q, "answer": a, "first_word": start}
+        return [[best[n] for n in sorted(best)] for best in out]
 
     @staticmethod
     def _share(wanted: set, held: set, passage: list[str]) -> float:
@@ -226,8 +242,13 @@ def _finder(sent: _Sent, threshold: float, question: float, answer: float):
     def leaks(column):
         import pyarrow as pa
 
-        index = _index(sent)
-        found = [index.leaks(t, threshold, question, answer) if t else [] for t in column.to_pylist()]
+        index, texts, found = _index(sent), column.to_pylist(), []
+        start = size = 0
+        for i, t in enumerate(texts):
+            size += len(t or "")
+            if size >= 1 << 20 or i + 1 == len(texts):
+                found += index.leaks(texts[start : i + 1], threshold, question, answer)
+                start, size = i + 1, 0
         return pa.array(found, pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question", pa.float64()), ("answer", pa.float64()), ("first_word", pa.int64())])))
 
     return leaks

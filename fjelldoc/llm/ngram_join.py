@@ -137,7 +137,7 @@ def needed(n: Column, m: Column, num: int, den: int) -> Column:
 def _likely(docs: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     """The rows whose key may be in `wanted`, by a bitmap of BITS bits; an exact join follows."""
     bit = F.pmod(F.xxhash64("_id"), F.lit(BITS))
-    rows = wanted.select(bit.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits")).collect()  # BITS / 32768 rows
+    rows = wanted.select((bit + 1).alias("b")).groupBy(F.bitmap_bucket_number("b").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits")).collect()  # BITS / 32768 rows
     table = {r["bucket"]: bytes(r["bits"]) for r in rows}
     sent = docs.sparkSession.sparkContext.broadcast(table)
 

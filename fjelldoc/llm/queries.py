@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fjelldoc.llm import decontaminate, ngram_join, packing, quality_rules, rule_ensemble, shard_tree, token_counts, training_order
+from fjelldoc.llm import decontaminate, licenses, ngram_join, packing, quality_rules, rule_ensemble, shard_tree, token_counts, tool_calls, training_order
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -76,3 +76,16 @@ def op1_block_max_wand(spark, sf_dir):
 def op9_ngram_jaccard_join(spark, sf_dir):
     """Components of documents whose 3-word shingle sets have a Jaccard similarity of 0.9 or more."""
     return ngram_join.near_components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_license_scan(spark, sf_dir):
+    """License notices in all documents, one row per document and license."""
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.templates(spark)).select("doc_id", "license", "contained")
+
+
+@query
+def op8_tool_call_linking(spark, sf_dir):
+    """Calls and results of all conversations, linked, ordered, checked and as canonical JSON."""
+    linked = tool_calls.link(*tool_calls.from_conversations(table(spark, sf_dir, "conversations")), tool_calls.SCHEMAS)
+    return linked.withColumn("errors", F.array_join("errors", "; "))
