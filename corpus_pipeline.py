@@ -23,8 +23,9 @@ def passes_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def passes_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.3 or more by rules learned from their labels."""
-    return rule_ensemble.keep_good(docs, rule_ensemble.fit(docs, _table(spark, sf_dir, "labels")))
+    """Documents that score 0.3 or more by rules learned from labelled documents, rejected ones among them."""
+    ensemble = rule_ensemble.fit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return rule_ensemble.keep_good(docs, ensemble)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,7 +66,11 @@ def bands_for(length: int, contained: float = CONTAINED, sure: float = SURE) ->
 def signature(window: Column, bands: int) -> list[Column]:
     """The smallest value of the window's hashes under each of `bands` permutations (a XOR with a constant)."""
     masks = [((i + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) - (1 << 63) for i in range(bands)]
-    return [F.array_min(F.transform(window, lambda h, m=m: F.xxhash64(h.bitwiseXOR(F.lit(m))))) for m in masks]
+
+    def permuted(mask: int):
+        return lambda h: F.xxhash64(h.bitwiseXOR(F.lit(mask)))
+
+    return [F.array_min(F.transform(window, permuted(mask))) for mask in masks]
 
 
 def scan(docs: DataFrame, notices: DataFrame, key: str = "doc_id", text: str = "text", contained: float = CONTAINED) -> DataFrame:
