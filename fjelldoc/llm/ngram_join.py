@@ -87,7 +87,7 @@ def _word_cells(docs: DataFrame, text: str) -> np.ndarray:
 
 def _points(docs: DataFrame, key: str, text: str, size: int, num: int, den: int) -> DataFrame:
     """_id, node (hash of the set), n, keys (the shingles it may be found by) and point for each row."""
-    weights = np.round(2 * np.log2(1 + _word_cells(docs, text))).astype(np.uint64)
+    weights = np.minimum(np.round(1.5 * np.log2(1 + _word_cells(docs, text))), 63).astype(np.uint64)
     sent = docs.sparkSession.sparkContext.broadcast(weights)
     kind = docs.schema[key].dataType.simpleString()
 
@@ -110,8 +110,10 @@ def _points(docs: DataFrame, key: str, text: str, size: int, num: int, den: int)
                         continue
                     common = rarity[(h >> np.uint64(46)).astype(np.int64)]
                     width = min(size, len(h))
-                    together = sum(common[first + k] for k in range(width))
-                    order = np.argsort((together << np.uint64(54)) | (own >> np.uint64(10)) if size < 6 else (together << np.uint64(52)) | (own >> np.uint64(12)), kind="stable")
+                    each = [common[first + k] for k in range(width)]
+                    # no shingle is in more texts than its rarest word; the order has that first, then all words, then the hash
+                    rank = (np.minimum.reduce(each) << np.uint64(9)) | np.minimum(sum(each), 511)
+                    order = np.argsort((rank << np.uint64(49)) | (own >> np.uint64(15)), kind="stable")
                     prefix = len(own) - -(-num * len(own) // den) + 1
                     node.append(xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63))
                     keys.append(own[order[:prefix]].view(np.int64))
@@ -129,11 +131,6 @@ def bound(a: Column, b: Column) -> Column:
     return sum((F.least(a[i], b[i]) for i in range(1, GROUPS)), F.least(a[0], b[0]))
 
 
-def needed(n: Column, m: Column, num: int, den: int) -> Column:
-    """Is the bound enough for sizes n and m: den * overlap >= num * union, as overlap * (num + den) >= num * (n + m)."""
-    return F.lit(num) * (n + m)
-
-
 def _likely(docs: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     """The rows whose key may be in `wanted`, by a bitmap of BITS bits; an exact join follows."""
     bit = F.pmod(F.xxhash64("_id"), F.lit(BITS))
@@ -211,37 +208,54 @@ def _with_roots(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     return nodes.join(roots.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def _leaf_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of one key and two components that the boxes of their leaves and their own points allow."""
-    band = F.floor(F.log(F.col("n").cast("double")) * 10)
-    banded = members.withColumn("band", band)
-    crowd = banded.groupBy("key", "band").agg(F.ceil(F.count("*") / LEAF).alias("of"))
-    leaves = banded.join(crowd, ["key", "band"]).withColumn("leaf", F.col("band") * (1 << 24) + F.pmod(F.xxhash64("node"), F.col("of")))
-    boxes = leaves.groupBy("key", "leaf").agg(
-        F.array(*[F.max(F.col("point")[i]) for i in range(GROUPS)]).alias("box"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("root").alias("root0"), F.max("root").alias("root1")
+def _other_pairs(members: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of one key and two components whose sizes, boxes and points allow a link.
+
+    Keys of more than LEAF texts are cut into leaves by size, and leaves whose boxes can't link don't meet.
+    """
+    c = F.col
+    crowd = members.groupBy("key").agg(F.ceil(F.count("*") / LEAF).alias("of"))
+    dealt = members.join(nodes.select("node", "n"), "node").join(crowd, "key")
+    leaf = F.floor(F.log(c("n").cast("double")) * 10) * (1 << 24) + F.pmod(F.xxhash64("node"), c("of"))
+    leaves = written(dealt.select("key", "node", "root", "n", F.when(c("of") > 1, leaf).otherwise(F.lit(0)).alias("leaf"), (c("of") > 1).alias("crowded")))
+    boxes = (
+        leaves.where("crowded")
+        .join(nodes.select("node", "point"), "node")
+        .groupBy("key", "leaf")
+        .agg(F.array(*[F.max(c("point")[i]) for i in range(GROUPS)]).alias("box"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("root").alias("root0"), F.max("root").alias("root1"))
     )
     x, y = boxes.alias("x"), boxes.alias("y")
-    c = F.col
     near = (c("x.key") == c("y.key")) & (c("x.leaf") <= c("y.leaf"))
     near &= (den * c("x.most") >= num * c("y.least")) & (den * c("y.most") >= num * c("x.least"))
-    near &= (num + den) * bound(c("x.box"), c("y.box")) >= needed(c("x.least"), c("y.least"), num, den)
+    near &= (num + den) * bound(c("x.box"), c("y.box")) >= num * (c("x.least") + c("y.least"))
     near &= (c("x.root0") != c("x.root1")) | (c("y.root0") != c("y.root1")) | (c("x.root0") != c("y.root0"))
-    joined = x.join(y, near).select(c("x.key").alias("key"), c("x.leaf").alias("leaf"), c("y.leaf").alias("other"))
-    left = leaves.select("key", "leaf", c("node").alias("a"), c("n").alias("n"), c("root").alias("ra"), c("point").alias("pa"))
-    right = leaves.select("key", c("leaf").alias("other"), c("node").alias("b"), c("n").alias("m"), c("root").alias("rb"), c("point").alias("pb"))
+    meeting = x.join(y, near).select(c("x.key").alias("key"), c("x.leaf").alias("leaf"), c("y.leaf").alias("other"))
+    meeting = meeting.unionByName(leaves.where("not crowded").select("key", "leaf", c("leaf").alias("other")).distinct())
+    left = leaves.select("key", "leaf", c("node").alias("a"), c("n").alias("n"), c("root").alias("ra"))
+    right = leaves.select("key", c("leaf").alias("other"), c("node").alias("b"), c("n").alias("m"), c("root").alias("rb"))
     allowed = (c("ra") != c("rb")) & ((c("leaf") != c("other")) | (c("a") < c("b"))) & (den * c("n") >= num * c("m")) & (den * c("m") >= num * c("n"))
-    allowed &= (num + den) * bound(c("pa"), c("pb")) >= needed(c("n"), c("m"), num, den)
-    pairs = joined.join(left, ["key", "leaf"]).join(right, ["key", "other"]).where(allowed)
+    pairs = meeting.join(left, ["key", "leaf"]).join(right, ["key", "other"]).where(allowed)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _within_bound(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose sizes and points allow a link."""
+
+    def side(name: str) -> DataFrame:
+        return nodes.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("point").alias(f"p_{name}"))
+
+    n, m = F.col("n_a"), F.col("n_b")
+    described = pairs.join(side("a"), "a").join(side("b"), "b").where((den * n >= num * m) & (den * m >= num * n))
+    return described.where((num + den) * bound(F.col("p_a"), F.col("p_b")) >= num * (n + m)).select("a", "b")
+
+
 def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """key, n_shingles and component_id (the smallest key reachable by links of num/den or more) for each row."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(key, text)
     points = _points(rows, key, text, size, num, den)
     keyed = points.where("n > 0").select("node", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key", F.col("lo").alias("pivot"))
+    shared = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
     members = written(keyed.join(shared, "key").distinct())
     described = points.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min_by(F.struct("n", "point"), F.coalesce("_id", F.lit(0))).alias("d"), F.min("_id").alias("_id"))
     nodes = written(described.select("node", "d.*", "_id"))
@@ -250,18 +264,18 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     held = _likely(rows.where(F.col(key).isNotNull()), key, wanted).join(wanted, F.col(key) == F.col("_id")).select("node", F.col(text).alias("text"))
     nameless = points.where("_id is null").limit(1).count() and rows.where(F.col(key).isNull()).select(F.col(text).alias("text"))
     texts = written(_of_node(held, nameless or None, nodes, size))
-    n = nodes.select("node", "n", "point")
-
-    def side(prefix: str) -> DataFrame:
-        return n.select(F.col("node").alias(prefix), F.col("n").alias(f"n_{prefix}"), F.col("point").alias(f"p_{prefix}"))
-
-    star = members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b")
-    star = star.where((den * F.col("n_a") >= num * F.col("n_b")) & (den * F.col("n_b") >= num * F.col("n_a")) & ((num + den) * bound(F.col("p_a"), F.col("p_b")) >= needed(F.col("n_a"), F.col("n_b"), num, den)))
-    first = written(_verified(star.select("a", "b"), texts, size, num, den))
-    rooted = _with_roots(members.select("key", "node"), components(first.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    # a star per key around the text that shares the most keys: an original, if the others are its copies
+    weights = members.groupBy("node").agg(F.count("*").alias("w"))
+    centres = members.join(weights, "node").groupBy("key").agg(F.max(F.struct("w", "node"))["node"].alias("b"))
+    star = members.join(centres, "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    star = written(_within_bound(star, nodes, num, den))
+    first = written(_verified(star, texts, size, num, den))
+    rooted = written(_with_roots(members, components(first.select(F.col("a").alias("u"), F.col("b").alias("v")))))
     split = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    rest = _leaf_pairs(written(rooted.join(split, "key").join(n, "node")), num, den)
-    second = _verified(rest, texts, size, num, den)
+    rest = _other_pairs(written(rooted.join(split, "key")), nodes, num, den)
+    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = written(_within_bound(rest.join(tried, ["a", "b"], "left_anti"), nodes, num, den))
+    second = written(_verified(rest, texts, size, num, den))
     same_id = points.where("_id is not null and n > 0").groupBy("_id").agg(F.min("node").alias("u"), F.max("node").alias("v")).where("u < v")
     same_id = points.where("n > 0").join(same_id.select("_id", "u"), "_id").select("u", F.col("node").alias("v")).where("u <> v").distinct()
     links = first.unionByName(second).select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(same_id)
