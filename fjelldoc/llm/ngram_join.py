@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from fjelldoc.llm.common import bounded_batches, slices, utf8, written
 
 GROUPS = 32
+#: Groups of the coarser points that travel with every key.
+COARSE = 8
 LEAF = 64
 #: Cells of the word count by hash; a cell's count is an upper bound of its words' counts.
 CELLS = 1 << 18
@@ -208,16 +210,23 @@ def _with_roots(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     return nodes.join(roots.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
+def _coarse(point: Column, at: int) -> Column:
+    """One coordinate of a point of COARSE groups: the sum of the groups that fall together."""
+    own = [point[i] for i in range(at, GROUPS, COARSE)]
+    return sum(own[1:], own[0]).cast("bigint")
+
+
 def _other_pairs(members: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of one key and two components whose sizes, boxes and points allow a link.
 
     Keys of more than LEAF texts are cut into leaves by size, and leaves whose boxes can't link don't meet.
     """
     c = F.col
+    coarse = [f"c{i}" for i in range(COARSE)]
     crowd = members.groupBy("key").agg(F.ceil(F.count("*") / LEAF).alias("of"))
-    dealt = members.join(nodes.select("node", "n"), "node").join(crowd, "key")
+    dealt = members.join(nodes.select("node", "n", *[_coarse(c("point"), i).alias(x) for i, x in enumerate(coarse)]), "node").join(crowd, "key")
     leaf = F.floor(F.log(c("n").cast("double")) * 10) * (1 << 24) + F.pmod(F.xxhash64("node"), c("of"))
-    leaves = written(dealt.select("key", "node", "root", "n", F.when(c("of") > 1, leaf).otherwise(F.lit(0)).alias("leaf"), (c("of") > 1).alias("crowded")))
+    leaves = written(dealt.select("key", "node", "root", "n", *coarse, F.when(c("of") > 1, leaf).otherwise(F.lit(0)).alias("leaf"), (c("of") > 1).alias("crowded")))
     boxes = (
         leaves.where("crowded")
         .join(nodes.select("node", "point"), "node")
@@ -231,9 +240,11 @@ def _other_pairs(members: DataFrame, nodes: DataFrame, num: int, den: int) -> Da
     near &= (c("x.root0") != c("x.root1")) | (c("y.root0") != c("y.root1")) | (c("x.root0") != c("y.root0"))
     meeting = x.join(y, near).select(c("x.key").alias("key"), c("x.leaf").alias("leaf"), c("y.leaf").alias("other"))
     meeting = meeting.unionByName(leaves.where("not crowded").select("key", "leaf", c("leaf").alias("other")).distinct())
-    left = leaves.select("key", "leaf", c("node").alias("a"), c("n").alias("n"), c("root").alias("ra"))
-    right = leaves.select("key", c("leaf").alias("other"), c("node").alias("b"), c("n").alias("m"), c("root").alias("rb"))
+    left = leaves.select("key", "leaf", c("node").alias("a"), c("n").alias("n"), c("root").alias("ra"), *[c(x).alias(f"a{x}") for x in coarse])
+    right = leaves.select("key", c("leaf").alias("other"), c("node").alias("b"), c("n").alias("m"), c("root").alias("rb"), *[c(x).alias(f"b{x}") for x in coarse])
     allowed = (c("ra") != c("rb")) & ((c("leaf") != c("other")) | (c("a") < c("b"))) & (den * c("n") >= num * c("m")) & (den * c("m") >= num * c("n"))
+    minima = [F.least(c(f"a{x}"), c(f"b{x}")) for x in coarse]
+    allowed &= (num + den) * sum(minima[1:], minima[0]) >= num * (c("n") + c("m"))
     pairs = meeting.join(left, ["key", "leaf"]).join(right, ["key", "other"]).where(allowed)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
