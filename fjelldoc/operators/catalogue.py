@@ -72,8 +72,8 @@ def sync_selection(previous: DataFrame, available: DataFrame, keys: list[str]) -
 
 
 def capped_query(spark: SparkSession, sql: str, **tables: DataFrame) -> DataFrame:
-    """Ad-hoc SELECT over the given tables, at most two hundred rows."""
-    return spark.sql(sql, **tables).limit(ADHOC_ROWS)
+    """Ad-hoc SELECT over the given tables, at most two hundred rows; as a subquery, no other statement parses."""
+    return spark.sql(f"SELECT * FROM (\n{sql.strip().rstrip(';')}\n) LIMIT {ADHOC_ROWS}", **tables)
 
 
 def peek(df: DataFrame) -> DataFrame:

@@ -112,8 +112,8 @@ def buffer_search(probes: DataFrame, sites: DataFrame, cell_metres: float = 25_0
 
 # -- nearest -----------------------------------------------------------------
 
-# Cell sizes are powers of two; the first one holds the whole projected plane in a single cell.
-WORLD_BITS = 24
+# Cell sizes are powers of two; the first one reaches 67 000 km from the origin, beyond any place on the projected plane.
+WORLD_BITS = 27
 LEVEL_BITS = (20, 16, 12, 9)
 
 
@@ -154,7 +154,7 @@ def nearest_item(points: DataFrame, items: DataFrame, distance: Column, item_id:
     for bits in LEVEL_BITS:
         cells = _box_cells(placed, bits, parent)
         if parent == WORLD_BITS:
-            cells = F.broadcast(cells)  # at most 16 x 16 cells inside the world cell
+            cells = F.broadcast(cells)  # at most 128 x 128 cells inside the world cell
         near = frontier.join(cells, ["px", "py"])
         near = near.withColumn("_lo", F.hypot(_gap("x", "bx0", "bx1"), _gap("y", "by0", "by1"))).withColumn(
             "_hi", F.hypot(_reach("x", "bx0", "bx1"), _reach("y", "by0", "by1"))

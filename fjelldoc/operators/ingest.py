@@ -199,11 +199,16 @@ def index_run(
     )
     both = state.join(updates, "source_blob", "full")
     fields = ["title", "content", "last_modified", "file_hash", "indexing_status", "error_message", "embedding", "indexed_at", "updated_at"]
-    picked = {f: F.when(F.col("_u").isNotNull(), F.col(f"_u.{f}")).otherwise(F.col(f)) for f in fields}
+    taken_over = F.col("_u").isNotNull()
+    # a stored document whose new version yields no text keeps all but its status
+    replaced = taken_over & ((F.col("_u.indexing_status") != "failed") | F.col("created_at").isNull())
+    state_fields = ("indexing_status", "error_message", "updated_at")
+    picked = {f: F.when(taken_over if f in state_fields else replaced, F.col(f"_u.{f}")).otherwise(F.col(f)) for f in fields}
     next_docs = both.withColumns({**picked, "created_at": F.coalesce("created_at", now)}).select(*columns)
 
     kept = embedded.select(*stored_chunks.columns)
-    next_chunks = replace_children(stored_chunks, kept, taken.select(F.col("name").alias("document_id")), "document_id")
+    succeeded = done.where("status <> 'failed'").select(F.col("name").alias("document_id"))
+    next_chunks = replace_children(stored_chunks, kept, succeeded, "document_id")
     word = F.when(F.col("status") == "ready", "ok").when(F.col("status") == "failed", "error").otherwise("partial")
     outcomes = (
         blobs.select("name")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fjelldoc.operators import chats, keyed, usage
@@ -49,12 +50,11 @@ def activity_sessions(t: Tables):
 
 
 @query(with_tables("chats") + f"""
-  SELECT user_id, chat_id, title, {stamp_sql('updated_at')} AS updated_at, row_number() OVER (ORDER BY user_id, updated_at DESC, chat_id) AS place FROM chats""")
+  SELECT user_id, chat_id, title, {stamp_sql('updated_at')} AS updated_at, row_number() OVER (PARTITION BY user_id ORDER BY chats.updated_at DESC, chat_id)::INTEGER AS place FROM chats""")
 def recent_chats(t: Tables):
-    """Chats per owner, newest first; `place` records the total order of the sorted result."""
-    ordered = t.chats.orderBy("user_id", F.col("updated_at").desc(), "chat_id").select("user_id", "chat_id", "title", "updated_at")
-    zipped = ordered.select("*", F.monotonically_increasing_id().alias("_m"))
-    placed = numbered(zipped.withColumn("_all", F.lit(1)), ["_all"], F.shiftright("_m", 33), [F.col("_m")], "place")
+    """Chats of each owner, newest first."""
+    newest = Window.partitionBy("user_id").orderBy(F.col("updated_at").desc(), "chat_id")
+    placed = t.chats.withColumn("place", F.row_number().over(newest))
     return placed.select("user_id", "chat_id", "title", stamp("updated_at").alias("updated_at"), "place")
 
 

@@ -128,3 +128,13 @@ def test_nested_collections_and_round_trip(spark, tmp_path):
 def test_circle_radius(spark):
     ring = spark.range(1).select(geo.circle_ring(F.lit(10.0), F.lit(60.0), F.lit(500.0)).alias("r")).first().r
     assert len(ring) == 65 and tuple(ring[0]) == pytest.approx(tuple(ring[64]))
+
+
+def test_nearest_beyond_the_old_border(spark):
+    """Northings above 2^23 m keep their rows and their nearest seed."""
+    points = spark.createDataFrame([(1, 500000.0, 8400000.0), (2, 500000.0, 8380000.0), (3, 500000.0, 9000000.0)], "point_id long, x double, y double")
+    seeds = spark.createDataFrame([(1, 500000.0, 8300000.0), (2, 500000.0, 8395000.0), (3, 500000.0, 7000000.0)], "seed_id long, x double, y double")
+    from fjelldoc.operators.geometry import nearest_seed
+
+    got = {r.point_id: r.seed_id for r in nearest_seed(points, seeds).collect()}
+    assert got == {1: 2, 2: 2, 3: 2}

@@ -118,3 +118,14 @@ def test_html_blocks(spark):
     got = files.blocks_from_html(spark.createDataFrame([("d", html)], "doc_id string, html string")).orderBy("block_ix").collect()
     assert [r.text for r in got] == ["Title & more", "Bold text", "one", "two"]
     assert got[0].font_size == 14.0 and got[1].is_bold and not got[2].is_bold
+
+
+def test_adhoc_statement_is_a_subquery(spark):
+    from pyspark.errors import ParseException
+
+    from fjelldoc.operators.catalogue import capped_query
+
+    rows = spark.range(500)
+    assert capped_query(spark, "SELECT * FROM {rows};", rows=rows).count() == 200
+    with pytest.raises(ParseException):
+        capped_query(spark, "CREATE TEMPORARY VIEW made AS SELECT 1")
