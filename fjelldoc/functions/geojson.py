@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from fjelldoc.functions.geo import POINT
 
+#: Levels of collections inside collections that are flattened; deeper ones raise an error.
+DEPTH = 4
+
 PARTS = f"array<array<array<{POINT}>>>"
 
 
@@ -34,10 +37,24 @@ def _simple_parts(g: Column) -> Column:
     )
 
 
+def _flattened(g: Column, kind: str, field: str) -> Column:
+    """The members of a collection of any of DEPTH levels; the value itself if it is none."""
+
+    def members(v: Column) -> Column:
+        listed = F.from_json(_json(v, f"$.{field}"), "array<string>")
+        return F.when(_json(v, "$.type") == kind, F.coalesce(listed, F.array().cast("array<string>"))).otherwise(F.array(v))
+
+    out = members(g)
+    for _ in range(DEPTH - 1):
+        out = F.flatten(F.transform(out, members))
+    too_deep = F.exists(out, lambda v: F.coalesce(_json(v, "$.type") == kind, F.lit(False)))
+    return F.when(too_deep, F.raise_error(F.lit(f"{kind} nested deeper than {DEPTH} levels"))).otherwise(out)
+
+
 def parts(g: Column) -> Column:
-    """Parts of any GeoJSON geometry, collections flattened one level."""
-    children = F.from_json(_json(g, "$.geometries"), "array<string>")
-    return F.when(_json(g, "$.type") == "GeometryCollection", F.flatten(F.transform(children, _simple_parts))).otherwise(_simple_parts(g))
+    """Parts of any GeoJSON geometry, collections flattened."""
+    nested = F.flatten(F.transform(_flattened(g, "GeometryCollection", "geometries"), _simple_parts))
+    return F.when(_json(g, "$.type") == "GeometryCollection", nested).otherwise(_simple_parts(g))
 
 
 def geometry(g: Column) -> Column:
@@ -51,14 +68,9 @@ def vertices(g: Column) -> Column:
     return _points(F.from_json(F.concat(F.lit("["), F.array_join(innermost, ","), F.lit("]")), "array<array<double>>"))
 
 
-def _members(g: Column) -> Column:
-    listed = F.from_json(_json(g, "$.features"), "array<string>")
-    return F.when(_json(g, "$.type") == "FeatureCollection", listed).otherwise(F.array(g))
-
-
 def features(g: Column) -> Column:
-    """Features of any GeoJSON value: bare geometries are wrapped, collections flattened (two levels)."""
-    typed = F.filter(F.flatten(F.transform(_members(g), _members)), lambda f: _json(f, "$.type").isNotNull())
+    """Features of any GeoJSON value: bare geometries are wrapped, collections flattened."""
+    typed = F.filter(_flattened(g, "FeatureCollection", "features"), lambda f: _json(f, "$.type").isNotNull())
     wrapped = F.transform(
         typed,
         lambda f: F.when(_json(f, "$.type") == "Feature", f).otherwise(

@@ -1,52 +1,71 @@
 """Score every item against a set of queries, keeping only each batch's best rows.
 
-A query set within the size bound travels to the tasks with the function; the items are scanned
-once, in place, without a shuffle. A larger set is cut into blocks that meet item groups of
-bounded size, so neither side is ever gathered whole. Both ways call the same scorer, which
-returns per-batch winners only: a global winner always wins in its own batch.
+There is one lazy plan for every size of the query set. Queries are cut by hash into blocks of bounded
+size, whose number is a scalar subquery; items are dealt into groups. In a sorted partition the
+queries of a block come before its items, so a task holds one block and one Arrow batch of items at
+a time. A batch's winners are enough: a global winner always wins in its own batch.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 Scorer = Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]
 
+#: Queries a task holds at once.
 MAX_QUERIES_PER_TASK = 2048
-MAX_QUERY_BYTES = 64 * 1024 * 1024
-ITEMS_PER_GROUP = 20_000
 
 
-def score_batches(
-    items: DataFrame, queries: DataFrame, scorer: Scorer, schema: str, max_queries: int = MAX_QUERIES_PER_TASK
-) -> DataFrame:
-    size = queries.agg(F.count("*").alias("n"), F.sum(F.length(F.to_json(F.struct(*queries.columns)))).alias("b")).first()
-    if size.n <= max_queries and (size.b or 0) <= MAX_QUERY_BYTES:
-        small = queries.toPandas()
+def _deal(items: DataFrame, queries: DataFrame, max_queries: int) -> DataFrame:
+    """(_group, _block, _side, item, asked), sorted so that the queries of a block precede its items."""
+    groups = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = queries.agg(F.greatest(F.ceil(F.count("*") / max_queries), F.lit(1)).cast("int").alias("n"))
 
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                yield scorer(batch, small)
+    def dealt(df: DataFrame, n: Column) -> Column:
+        return F.pmod(F.xxhash64(*df.columns), n).cast("int")
 
-        return items.mapInPandas(scan, schema)
+    def every(n: Column) -> Column:
+        return F.explode(F.sequence(F.lit(0), n - 1))
 
-    n_blocks = max(math.ceil(size.n / max_queries), math.ceil(size.b / MAX_QUERY_BYTES))
-    n_groups = max(1, math.ceil(items.count() / ITEMS_PER_GROUP))
+    sized = items.withColumn("_n", blocks.scalar())
+    own = sized.select(dealt(items, F.lit(groups)).alias("_group"), every(F.col("_n")).alias("_block"), F.lit(1).alias("_side"), F.struct(*items.columns).alias("item"))
+    asked = queries.withColumn("_n", blocks.scalar())
+    asked = asked.select(every(F.lit(groups)).alias("_group"), dealt(queries, F.col("_n")).alias("_block"), F.lit(0).alias("_side"), F.struct(*queries.columns).alias("asked"))
+    both = own.unionByName(asked, allowMissingColumns=True)
+    return both.repartition(groups, "_group", "_block").sortWithinPartitions("_group", "_block", "_side").select("_group", "_block", "_side", "item", "asked")
 
-    def spread(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-        return df.withColumn(own, F.pmod(F.xxhash64(*df.columns), F.lit(n_own))).withColumn(
-            other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_other - 1).cast("bigint")))
-        )
 
-    left = spread(items, "_group", n_groups, "_block", n_blocks).groupBy("_group", "_block")
-    right = spread(queries, "_block", n_blocks, "_group", n_groups).groupBy("_group", "_block")
-    return left.cogroup(right).applyInPandas(lambda a, b: scorer(a, b), schema)
+def score_batches(items: DataFrame, queries: DataFrame, scorer: Scorer, schema: str, max_queries: int = MAX_QUERIES_PER_TASK) -> DataFrame:
+    """Rows of `scorer(items, queries)` over all items and queries; nothing runs before an action."""
+
+    def scan(batches):
+        import pyarrow as pa
+
+        at, asked = None, []
+        for batch in batches:
+            keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)], axis=1)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for start, stop in zip([0, *cuts], [*cuts, len(keys)], strict=True):
+                if start == stop:
+                    continue
+                group, block, side = keys[start].tolist()
+                if at != (group, block):
+                    at, asked = (group, block), []
+                rows = pa.RecordBatch.from_struct_array(batch.column(3 if side else 4).slice(start, stop - start)).to_pandas()
+                if not side:
+                    asked = [pd.concat([*asked, rows], ignore_index=True)]
+                elif asked:
+                    found = scorer(rows, asked[0])
+                    if len(found):
+                        yield pa.RecordBatch.from_pandas(found, preserve_index=False)
+
+    return _deal(items, queries, max_queries).mapInArrow(scan, schema)
 
 
 def top_k(df: DataFrame, key: str, score: str, tie: str, k: int) -> DataFrame:

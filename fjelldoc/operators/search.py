@@ -109,25 +109,34 @@ def _unit_rows(vectors: pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def cosine_batch(items: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Per query, the best chunk of every document in the batch, then the best k documents."""
-    empty = pd.DataFrame({"query_id": [], "id": [], "chunk_id": [], "score": []})
-    if items.empty or queries.empty:
-        return empty
-    dim = len(queries["embedding"].iloc[0])
-    q, q_ok = _unit_rows(queries["embedding"], dim)
-    v, v_ok = _unit_rows(items["embedding"], dim)
-    ids, chunks = items["id"].to_numpy()[v_ok], items["chunk_id"].to_numpy()[v_ok]
-    scores = np.round(v[v_ok] @ q.T, 6)
+    """Per query, the best chunk of every document in the batch, then the best k documents.
+
+    A query meets the items of its own dimension; one without a usable vector has no hits.
+    """
     parts = []
-    for col in np.flatnonzero(q_ok):
-        s = scores[:, col]
-        order = np.lexsort((chunks, -s, ids))
-        first = order[np.r_[True, np.diff(ids[order]) != 0]] if len(order) else order
-        best = first[np.lexsort((ids[first], -s[first]))][:k]
-        parts.append(
-            pd.DataFrame({"query_id": queries["query_id"].iloc[col], "id": ids[best], "chunk_id": chunks[best], "score": s[best]})
-        )
-    return pd.concat(parts) if parts else empty
+    sizes = queries["embedding"].map(lambda v: 0 if v is None else len(v))
+    for dim, asked in queries[sizes > 0].groupby(sizes[sizes > 0]):
+        q, q_ok = _unit_rows(asked["embedding"], dim)
+        v, v_ok = _unit_rows(items["embedding"], dim)
+        ids, chunks = items["id"].to_numpy()[v_ok], items["chunk_id"].to_numpy()[v_ok]
+        scores = np.round(v[v_ok] @ q.T, 6)
+        for col in np.flatnonzero(q_ok):
+            s = scores[:, col]
+            order = np.lexsort((chunks, -s, ids))
+            first = order[np.r_[True, np.diff(ids[order]) != 0]] if len(order) else order
+            best = first[np.lexsort((ids[first], -s[first]))][:k]
+            parts.append(
+                pd.DataFrame({"query_id": asked["query_id"].iloc[col], "id": ids[best], "chunk_id": chunks[best], "score": s[best]})
+            )
+    return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "id": [], "chunk_id": [], "score": []})
+
+
+def check_vectors(queries: DataFrame, dim: int) -> DataFrame:
+    """Adds `error` to queries whose vector can't be searched with; null for the others."""
+    v = F.col("embedding")
+    length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x))
+    reason = F.when(v.isNull(), "no vector").when(F.size(v) != dim, F.concat(F.lit("dimension is not "), F.lit(str(dim))))
+    return queries.withColumn("error", reason.when(F.coalesce(length, F.lit(0.0)) == 0, "vector without a direction"))
 
 
 def _nearest(items: DataFrame, queries: DataFrame, limit: int, max_queries: int | None = None) -> DataFrame:

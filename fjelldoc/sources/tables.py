@@ -17,14 +17,6 @@ BASE = (
 
 
 HEADING_TOPICS = ("Metode", "Konsekvens", "Bakgrunn", "Usikkerhet", "Landskap")
-COSTLY_ROWS = ("documents", "pages", "conversations", "customer")
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Spread a scan with fewer splits than cores; a scan with enough splits is left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores and df.rdd.getNumPartitions() < cores else df
-
 
 class Tables:
     """Lazy access to one scale-factor directory."""
@@ -36,8 +28,7 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE:
-            df = self.spark.read.parquet(f"{self.path}/{name}.parquet")
-            return spread_small(df) if name in COSTLY_ROWS else df
+            return self.spark.read.parquet(f"{self.path}/{name}.parquet")
         raise AttributeError(name)
 
     # -- documents ---------------------------------------------------------

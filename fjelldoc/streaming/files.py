@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
@@ -14,7 +15,11 @@ from fjelldoc.sources.files import discover_stream
 def index_new_files(
     spark: SparkSession, folder: str, run: Callable[[DataFrame, int], None], checkpoint: str | None = None
 ) -> StreamingQuery:
-    """Starts a query that processes everything not seen before and stops; the checkpoint remembers seen files."""
-    location = checkpoint or f"{checkpoint_root(spark)}/index-new-files"
+    """Starts a query that processes every path not seen before, of any date, and stops.
+
+    The checkpoint, one per folder, remembers seen paths. A file that changes under its path is not seen
+    again: `sources.files.discover` with `operators.ingest.claim` finds those.
+    """
+    location = checkpoint or f"{checkpoint_root(spark)}/index-new-files-{sha256(folder.encode()).hexdigest()[:16]}"
     writer = discover_stream(spark, folder).writeStream.foreachBatch(run)
     return writer.option("checkpointLocation", location).trigger(availableNow=True).start()

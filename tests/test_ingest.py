@@ -120,6 +120,29 @@ def test_html_blocks(spark):
     assert got[0].font_size == 14.0 and got[1].is_bold and not got[2].is_bold
 
 
+def test_html_text_of_any_tag_is_kept(spark):
+    html = "loose &aring;&#229;&#xE5;&none;<h2>Sub</h2><div class='ad'>an <i>ad</i></div><table><tr><td>cell</td><th>head</th></tr></table><pre>code</pre>" + "long " * 50_000 + "<p>last &amp;lt; unclosed"
+    got = files.blocks_from_html(spark.createDataFrame([("d", html), ("e", None), ("f", "")], "doc_id string, html string")).orderBy("block_ix").collect()
+    assert [r.text[:30] for r in got] == ["loose ååå&none;", "Sub", "an ad", "cell", "head", "code", ("long " * 6), "last &lt; unclosed"]
+    assert [r.font_size for r in got][:3] == [11.0, 14.0, 11.0] and len(got[6].text) == 249_999
+
+
+def test_old_files_are_delivered(spark, tmp_path):
+    import os
+
+    from fjelldoc.streaming.files import index_new_files
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "new.pdf").write_bytes(b"new")
+    run = lambda df, batch: df.select("name").write.mode("append").parquet(str(tmp_path / "seen"))
+    index_new_files(spark, str(folder), run).awaitTermination(60)
+    (folder / "old.pdf").write_bytes(b"old")
+    os.utime(folder / "old.pdf", (1_000_000_000,) * 2)
+    index_new_files(spark, str(folder), run).awaitTermination(60)
+    assert sorted(r.name[-7:] for r in spark.read.parquet(str(tmp_path / "seen")).collect()) == ["new.pdf", "old.pdf"]
+
+
 def test_adhoc_statement_is_a_subquery(spark):
     from pyspark.errors import ParseException
 

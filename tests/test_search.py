@@ -61,6 +61,27 @@ def test_null_wrong_and_zero_vectors_are_skipped(spark):
     assert [r.id for r in search._nearest(items, q, 5).collect()] == [1]
 
 
+def test_queries_of_any_dimension_and_order(spark):
+    items = spark.createDataFrame([(1, 1, [1.0, 0.0]), (2, 2, [0.0, 0.0, 1.0])], "id bigint, chunk_id bigint, embedding array<float>")
+    rows = [(1, None), (2, [0.0, 0.0, 1.0]), (3, [1.0, 0.0]), (4, [0.0, 0.0])]
+    for order in (rows, rows[::-1]):
+        q = spark.createDataFrame(order, "query_id bigint, embedding array<float>")
+        for most in (1, 2048):
+            assert sorted((r.query_id, r.id) for r in search._nearest(items, q, 5, most).collect()) == [(2, 2), (3, 1)]
+        errors = {r.query_id: r.error for r in search.check_vectors(q, 2).collect()}
+        assert errors[3] is None and all(errors[i] for i in (1, 2, 4))
+
+
+def test_scoring_starts_no_job(spark, tables):
+    chunks, docs = tables.chunks, tables.docs
+    asked = tables.embeddings.select(F.col("vec_id").alias("query_id"), "embedding")
+    spark.sparkContext.setJobGroup("lazy", "lazy")
+    search.search_semantic_chunks(chunks, docs, asked)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("lazy")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert not jobs
+
+
 def test_malformed_vector_text(spark):
     df = spark.createDataFrame([("[0.1,0.2]",), ("[0.1,",), ("nope",), (None,), ("[1,null]",)], "t string")
     got = [r[0] for r in df.select(vectors.parse_vector(F.col("t"))).collect()]
