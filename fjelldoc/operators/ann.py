@@ -11,9 +11,12 @@ from fjelldoc.operators.scoring import top_k
 
 
 def approximate_top_k(
-    items: DataFrame, queries: DataFrame, k: int, radius: float = 1.4, bucket: float = 1.0, tables: int = 6, seed: int = 7
+    items: DataFrame, queries: DataFrame, k: int, radius: float = 2.1, bucket: float = 1.0, tables: int = 6, seed: int = 7
 ) -> DataFrame:
-    """Nearest items among those sharing a hash bucket; on unit vectors cosine = 1 - d^2 / 2."""
+    """Nearest items among those sharing a hash bucket; on unit vectors cosine = 1 - d^2 / 2.
+
+    No two unit vectors are farther apart than 2, so the default radius drops no candidate.
+    """
     normal = Normalizer(inputCol="vector", outputCol="features")
 
     def unit(df: DataFrame, key: str) -> DataFrame:

@@ -199,7 +199,7 @@ def title_similarity(docs: DataFrame, queries: DataFrame, threshold: float = FUZ
     )
     shared = title.join(asked, "gram").groupBy("query_id", "id", "n_title", "n_query").agg(F.count("*").alias("shared"))
     score = set_similarity(F.col("shared"), F.col("n_title"), F.col("n_query"))
-    return shared.select("query_id", "id", F.round(score, 6).alias("similarity")).filter(F.col("similarity") > threshold)
+    return shared.filter(score > threshold).select("query_id", "id", F.round(score, 6).alias("similarity"))
 
 
 def search_fuzzy(docs: DataFrame, queries: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:

@@ -105,6 +105,13 @@ def test_failing_embedding_batch_leaves_nulls(spark):
     assert [i for i, v in got.items() if v is None] == [0, 1, 2, 3] and got[7] == [1.0]
 
 
+def test_wrong_number_of_vectors_fails_its_batch(spark):
+    df = spark.createDataFrame([(i, "t") for i in range(5)], "i int, text string").coalesce(1)
+    got = {r.i: r for r in embed.embed_texts(df, lambda texts: [[1.0]] * min(4, len(texts) + 2), batch=4, error="why").collect()}
+    assert [i for i, r in got.items() if r.embedding is None] == [4]
+    assert got[0].why is None and got[4].why == "3 vectors for 1 texts"
+
+
 def test_document_vectors_have_all_dimensions(tables):
     assert doc_vectors(tables).filter(F.size("embedding") != 64).count() == 0
 
