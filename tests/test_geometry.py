@@ -138,3 +138,25 @@ def test_nearest_beyond_the_old_border(spark):
 
     got = {r.point_id: r.seed_id for r in nearest_seed(points, seeds).collect()}
     assert got == {1: 2, 2: 2, 3: 2}
+
+
+def test_nested_collections_are_flattened(spark):
+    from pyspark.errors import PySparkException
+    from pyspark.sql import functions as F
+
+    from fjelldoc.functions import geojson
+
+    point = '{"type":"Point","coordinates":[1,2]}'
+
+    def nested(kind, field, depth):
+        text = point
+        for _ in range(depth):
+            text = f'{{"type":"{kind}","{field}":[{text},{point}]}}'
+        return spark.createDataFrame([(text,)], "g string")
+
+    for depth in (1, 2, 4):
+        found = nested("FeatureCollection", "features", depth).select(geojson.features(F.col("g"))).first()[0]
+        assert len(found) == depth + 1 and all('"geometry":{"type":"Point"' in f for f in found)
+        assert len(nested("GeometryCollection", "geometries", depth).select(geojson.parts(F.col("g"))).first()[0]) == depth + 1
+    with pytest.raises(PySparkException, match="nested deeper"):
+        nested("FeatureCollection", "features", 5).select(geojson.features(F.col("g"))).collect()
