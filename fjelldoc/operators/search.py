@@ -63,18 +63,30 @@ def write_postings(postings: DataFrame, table: str, buckets: int = 512) -> None:
 def query_terms(queries: DataFrame, config: str = "simple") -> DataFrame:
     tokens = usable_queries(queries).select("query_id", F.explode(lx.words(F.col("query"))).alias("lexeme"))
     terms = lx.normalise_lexemes(tokens, config).groupBy("query_id").agg(F.collect_set("lexeme").alias("terms"))
-    return terms.select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("lexeme"))
+    return terms.select("query_id", "terms", F.size("terms").alias("n_terms"), F.explode("terms").alias("lexeme"))
 
 
 def full_text_scores(postings: DataFrame, queries: DataFrame, config: str = "simple") -> DataFrame:
-    """(query_id, id, score) of every document holding all words of the query."""
-    occ = F.array_sort(F.collect_list(F.struct("pos", "lexeme", lx.weight_value(F.col("weight")).alias("w"))))
-    matched = (
-        postings.join(query_terms(queries, config), "lexeme")
-        .groupBy("query_id", "n_terms", "id")
-        .agg(occ.alias("occ"), F.count_distinct("lexeme").alias("n_found"))
-        .filter(F.col("n_found") == F.col("n_terms"))
+    """(query_id, id, score) of every document holding all words of the query.
+
+    A document meets a query only under the query's longest word; the common words of a long query
+    then cost one posting each and not one for each query that has them.
+    """
+    terms = query_terms(queries, config)
+    longest = F.array_max(F.transform("terms", lambda w: F.struct(F.length(w), w.alias("w"))))["w"]
+    wanted = terms.groupBy("lexeme").agg(F.collect_set(F.when(F.col("lexeme") == longest, F.col("query_id"))).alias("asked"))
+    occurrence = F.struct("pos", "lexeme", lx.weight_value(F.col("weight")).alias("w"))
+    found = (
+        postings.join(wanted, "lexeme")
+        .groupBy("id")
+        .agg(F.array_sort(F.collect_list(occurrence)).alias("occ"), F.flatten(F.collect_set("asked")).alias("asked"))
+        .select("id", "occ", F.explode("asked").alias("query_id"))
+    )
+    asked = terms.select("query_id", "terms", "n_terms").distinct()
+    matched = found.join(asked, "query_id").select(
+        "query_id", "id", "n_terms", F.filter("occ", lambda o: F.array_contains("terms", o["lexeme"])).alias("occ")
     )
+    matched = matched.filter(F.size(F.array_distinct(F.transform("occ", lambda o: o["lexeme"]))) == F.col("n_terms"))
     score = F.when(F.col("n_terms") == 1, lx.rank_single(F.col("occ"))).otherwise(lx.rank_pairs(F.col("occ")))
     return matched.select("query_id", "id", F.round(score, 6).alias("score"))
 

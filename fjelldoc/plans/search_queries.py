@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fjelldoc.functions import lexemes as lx
@@ -165,11 +166,11 @@ FULLTEXT = POSTINGS.replace("FROM docs", "FROM docs WHERE indexing_status IN ('r
   nt AS (SELECT query_id, count(*) AS n FROM terms GROUP BY query_id),
   occ AS (SELECT query_id, id, lexeme, pos, CASE weight WHEN 'A' THEN 1e0 ELSE 0.4e0 END AS w FROM postings JOIN terms USING (lexeme)),
   matched AS (SELECT query_id, id, n FROM occ JOIN nt USING (query_id) GROUP BY query_id, id, n HAVING count(DISTINCT lexeme) = n),
+  held AS (SELECT o.* FROM occ o JOIN matched USING (query_id, id)),
   many AS (SELECT a.query_id, a.id,
              1e0 - exp(sum(ln(1e0 - sqrt(a.w * b.w * CASE WHEN abs(a.pos - b.pos) > 100 THEN 1e-30
                 ELSE 1e0 / (1.005e0 + 0.05e0 * exp(abs(a.pos - b.pos) / 1.5e0 - 2e0)) END)))) AS score
-           FROM occ a JOIN occ b ON a.query_id = b.query_id AND a.id = b.id AND a.lexeme < b.lexeme
-           JOIN matched m ON m.query_id = a.query_id AND m.id = a.id GROUP BY a.query_id, a.id),
+           FROM held a JOIN held b ON a.query_id = b.query_id AND a.id = b.id AND a.lexeme < b.lexeme GROUP BY a.query_id, a.id),
   numbered AS (SELECT o.*, row_number() OVER (PARTITION BY o.query_id, o.id ORDER BY pos) AS j FROM occ o JOIN matched m
                ON m.query_id = o.query_id AND m.id = o.id WHERE m.n = 1),
   top1 AS (SELECT query_id, id, w, j FROM numbered QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY w DESC, j) = 1),
@@ -270,7 +271,7 @@ def trigram_sets(t: Tables):
 @query()
 def fuzzy_search(t: Tables):
     """Title similarity or word similarity over the whole contents; tested against brute force."""
-    return search.search_fuzzy(t.docs, t.queries).select("query_id", "id", "score")
+    return search.search_fuzzy(t.docs, t.names).select("query_id", "id", "score")
 
 
 # -- combination -------------------------------------------------------------
@@ -293,17 +294,17 @@ TEXT_COSINE = (
 )
 
 
-def text_vectors(t: Tables):
-    """Hashed word vectors of the documents and of the search phrases."""
+def text_vectors(t: Tables, queries: DataFrame):
+    """Hashed word vectors of the documents and of the search texts."""
     embed = hashing_embedder(EMBED_DIM)
     docs = embed_texts(t.docs.select("id", "indexing_status", "content"), embed, "content")
-    asked = embed_texts(search.usable_queries(t.queries), embed, "query")
+    asked = embed_texts(search.usable_queries(queries), embed, "query")
     return docs, asked
 
 
 @query(with_tables("docs", "queries").rstrip() + "," + TEXT_COSINE + " SELECT query_id, id, score FROM sem_hits")
 def semantic_text_search(t: Tables):
-    docs, asked = text_vectors(t)
+    docs, asked = text_vectors(t, t.queries)
     return search.search_semantic_documents(docs, asked).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
@@ -313,7 +314,7 @@ def _title_hits(t: Tables):
 
 
 def _merged_methods(t: Tables):
-    docs, asked = text_vectors(t)
+    docs, asked = text_vectors(t, t.queries)
     full = top_k(
         search.full_text_scores(search.build_postings(search.searchable(t.docs)), t.queries), "query_id", "score", "id", 10
     )
@@ -344,11 +345,11 @@ def search_result_envelope(t: Tables):
 @query()
 def hybrid_search(t: Tables):
     """Full text, vectors and fuzzy search with word similarity together."""
-    docs, asked = text_vectors(t)
+    docs, asked = text_vectors(t, t.names)
     lists = {
-        "fulltext": search.search_full_text(t.docs, t.queries),
+        "fulltext": search.search_full_text(t.docs, t.names),
         "semantic": search.search_semantic_documents(docs, asked),
-        "fuzzy": search.search_fuzzy(t.docs, t.queries),
+        "fuzzy": search.search_fuzzy(t.docs, t.names),
     }
     return search.hybrid_merge(lists).select("query_id", "id", "score", "source")
 

@@ -106,14 +106,13 @@ class Tables:
 
     @cached_property
     def queries(self) -> DataFrame:
-        """Search phrases: the two longest distinct words of every benchmark text."""
-        words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), F.lit(0)))
-        keyed = F.transform(words, lambda w, i: F.struct((-F.length(w)).alias("n"), i.alias("i"), w.alias("w")))
-        best = F.slice(F.array_sort(keyed), 1, 2)
-        return self.benchmark.select(
-            F.col("item_id").alias("query_id"),
-            F.array_join(F.transform(best, lambda s: s["w"]), " ").alias("query"),
-        )
+        """Search texts: every benchmark text, whole."""
+        return self.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+    @cached_property
+    def names(self) -> DataFrame:
+        """Short search texts: the names of all nations, whole."""
+        return self.nation.select(F.col("n_nationkey").cast("bigint").alias("query_id"), F.col("n_name").alias("query"))
 
     # -- chats -------------------------------------------------------------
 
@@ -251,13 +250,7 @@ DERIVED_SQL: dict[str, str] = {
         SELECT chat_id, 'user-' || (chat_id % 7) AS user_id, split_part(arg_min(content, seq), chr(10), 1) AS title,
                min(created_at) AS created_at, max(created_at) AS updated_at FROM messages GROUP BY chat_id""",
     "chunks": "SELECT vec_id AS chunk_id, vec_id // 10 AS document_id, embedding, label FROM embeddings",
-    "qwords": r"""
-        SELECT item_id, w, row_number() OVER (PARTITION BY item_id ORDER BY length(w) DESC, i) AS r
-        FROM (SELECT item_id, w, min(i) AS i
-              FROM (SELECT item_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i
-                    FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}]+') AS ws FROM benchmark))
-              GROUP BY item_id, w)""",
-    "queries": "SELECT item_id AS query_id, string_agg(w, ' ' ORDER BY r) AS query FROM qwords WHERE r <= 2 GROUP BY item_id",
+    "queries": "SELECT item_id AS query_id, text AS query FROM benchmark",
     "messages": """
         SELECT conv_id AS chat_id, turn AS seq, role, text AS content,
                TIMESTAMP '2024-01-01' + (conv_id * 3600 + turn * 47 * (turn + 1)) * INTERVAL 1 SECOND AS created_at
@@ -299,7 +292,7 @@ DERIVED_SQL: dict[str, str] = {
         FROM layer_geo""",
 }
 
-_NEEDS = {"queries": ["qwords"], "layer_geo": ["layer_coords"], "layers": ["layer_geo"], "chats": ["messages"], "blocks": ["block_lines"]}
+_NEEDS = {"layer_geo": ["layer_coords"], "layers": ["layer_geo"], "chats": ["messages"], "blocks": ["block_lines"]}
 
 
 def with_tables(*names: str, body: str = "") -> str:

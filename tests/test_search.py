@@ -122,3 +122,24 @@ def test_postings_table_round_trip(spark, tables):
     fresh = search.full_text_scores(search.build_postings(search.searchable(tables.docs)), tables.queries)
     assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, fresh.collect()))
     spark.sql("DROP TABLE postings_test")
+
+
+def test_pair_rank_walks_near_pairs_and_sums_far_ones(spark):
+    import math
+    import random
+
+    from fjelldoc.functions import lexemes as lx
+
+    rng = random.Random(5)
+    at = sorted(rng.sample(range(1, 900), 120))
+    occ = [(p, rng.choice("abc"), 1.0 if p < 40 else 0.4) for p in at]
+    miss = 0.0
+    for i, (p, x, v) in enumerate(occ):
+        for q, y, w in occ[i + 1 :]:
+            close = 1e-30 if q - p > 100 else 1 / (1.005 + 0.05 * math.exp((q - p) / 1.5 - 2))
+            miss += math.log1p(-math.sqrt(v * w * close)) if x != y else 0.0
+    df = spark.createDataFrame([(occ,)], "occ array<struct<pos:int,lexeme:string,w:double>>")
+    assert df.select(lx.rank_pairs(df["occ"]).alias("r")).first().r == pytest.approx(-math.expm1(miss), abs=1e-9)
+    far = [(1, "a", 1.0), (500, "b", 0.4)]
+    df = spark.createDataFrame([(far,)], "occ array<struct<pos:int,lexeme:string,w:double>>")
+    assert df.select(lx.rank_pairs(df["occ"]).alias("r")).first().r == pytest.approx(math.sqrt(0.4) * 1e-15, rel=1e-6)
