@@ -224,12 +224,11 @@ def _other_pairs(members: DataFrame, nodes: DataFrame, num: int, den: int) -> Da
     c = F.col
     coarse = [f"c{i}" for i in range(COARSE)]
     crowd = members.groupBy("key").agg(F.ceil(F.count("*") / LEAF).alias("of"))
-    dealt = members.join(nodes.select("node", "n", *[_coarse(c("point"), i).alias(x) for i, x in enumerate(coarse)]), "node").join(crowd, "key")
+    dealt = members.join(nodes.select("node", "n", "point", *[_coarse(c("point"), i).alias(x) for i, x in enumerate(coarse)]), "node").join(crowd, "key")
     leaf = F.floor(F.log(c("n").cast("double")) * 10) * (1 << 24) + F.pmod(F.xxhash64("node"), c("of"))
-    leaves = written(dealt.select("key", "node", "root", "n", *coarse, F.when(c("of") > 1, leaf).otherwise(F.lit(0)).alias("leaf"), (c("of") > 1).alias("crowded")))
+    leaves = written(dealt.select("key", "node", "root", "n", "point", *coarse, F.when(c("of") > 1, leaf).otherwise(F.lit(0)).alias("leaf"), (c("of") > 1).alias("crowded")))
     boxes = (
         leaves.where("crowded")
-        .join(nodes.select("node", "point"), "node")
         .groupBy("key", "leaf")
         .agg(F.array(*[F.max(c("point")[i]) for i in range(GROUPS)]).alias("box"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("root").alias("root0"), F.max("root").alias("root1"))
     )
@@ -240,11 +239,14 @@ def _other_pairs(members: DataFrame, nodes: DataFrame, num: int, den: int) -> Da
     near &= (c("x.root0") != c("x.root1")) | (c("y.root0") != c("y.root1")) | (c("x.root0") != c("y.root0"))
     meeting = x.join(y, near).select(c("x.key").alias("key"), c("x.leaf").alias("leaf"), c("y.leaf").alias("other"))
     meeting = meeting.unionByName(leaves.where("not crowded").select("key", "leaf", c("leaf").alias("other")).distinct())
-    left = leaves.select("key", "leaf", c("node").alias("a"), c("n").alias("n"), c("root").alias("ra"), *[c(x).alias(f"a{x}") for x in coarse])
-    right = leaves.select("key", c("leaf").alias("other"), c("node").alias("b"), c("n").alias("m"), c("root").alias("rb"), *[c(x).alias(f"b{x}") for x in coarse])
+    left = leaves.select("key", "leaf", c("node").alias("a"), c("n").alias("n"), c("root").alias("ra"), c("point").alias("pa"), *[c(x).alias(f"a{x}") for x in coarse])
+    right = leaves.select("key", c("leaf").alias("other"), c("node").alias("b"), c("n").alias("m"), c("root").alias("rb"), c("point").alias("pb"), *[c(x).alias(f"b{x}") for x in coarse])
     allowed = (c("ra") != c("rb")) & ((c("leaf") != c("other")) | (c("a") < c("b"))) & (den * c("n") >= num * c("m")) & (den * c("m") >= num * c("n"))
     minima = [F.least(c(f"a{x}"), c(f"b{x}")) for x in coarse]
     allowed &= (num + den) * sum(minima[1:], minima[0]) >= num * (c("n") + c("m"))
+    # the few pairs left by the coarse sums meet the whole points; a loop, since 32 written-out minima are too long to be compiled
+    overlap = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.least(x, y)), F.lit(0), lambda most, x: most + x)
+    allowed &= (num + den) * overlap >= num * (c("n") + c("m"))
     pairs = meeting.join(left, ["key", "leaf"]).join(right, ["key", "other"]).where(allowed)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
