@@ -181,6 +181,18 @@ def test_quality_rules(docs, none):
     assert not quality_rules.keep_good(none).collect()
 
 
+def test_words_of_another_language_go(spark):
+    def of(lang, n):
+        own = quality_rules.COMMON_WORDS[lang]
+        return " ".join(rng.choices([*own, *(f"{w}x" for w in VOCABULARY)], [*own.values(), *[(1 - sum(own.values())) / len(VOCABULARY)] * len(VOCABULARY)], k=n))
+
+    rows = [(i, of(text, 3000), lang, text) for i, (text, lang) in enumerate((a, b) for a in quality_rules.COMMON_WORDS for b in quality_rules.COMMON_WORDS)]
+    rows += [(90, of("de", 40), "en", "en"), (91, of("de", 400), None, None), (92, of("de", 400), "xx", "xx")]
+    got = {r.i: r.quality for r in quality_rules.quality(spark.createDataFrame(rows, "i int, text string, lang string, really string")).select("_row.i", "quality").collect()}
+    assert {i for i, q in got.items() if q.kept} == {i for i, _, lang, really in rows if lang == really}
+    assert got[90].word_distance is None and got[91].other_word_distance is None
+
+
 def test_js_distance(spark):
     got = spark.range(1).select(quality_rules.js_distance(F.array(F.lit(3.0), F.lit(1.0), F.lit(0.0)), F.lit(4.0), F.array(F.lit(0.2), F.lit(0.3), F.lit(0.5))).alias("d")).first().d
     p, q = [0.75, 0.25, 0], [0.2, 0.3, 0.5]
