@@ -109,11 +109,6 @@ class Tables:
         """Search texts: every benchmark text, whole."""
         return self.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
-    @cached_property
-    def names(self) -> DataFrame:
-        """Short search texts: the names of all nations, whole."""
-        return self.nation.select(F.col("n_nationkey").cast("bigint").alias("query_id"), F.col("n_name").alias("query"))
-
     # -- chats -------------------------------------------------------------
 
     @cached_property

@@ -1,13 +1,16 @@
 """Search: brute force, both scoring ways, recall, and failure cases."""
 
+from types import SimpleNamespace
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from fjelldoc.functions import vectors
-from fjelldoc.operators import ann, embed, search
+from fjelldoc.operators import ann, embed, search, wordsim
 from fjelldoc.operators.wordsim import TextExtents, best_extent, ordered_trigrams, word_similarity_batch
+from fjelldoc.plans import search_queries
 from fjelldoc.plans.search_queries import doc_vectors, label_vectors
 
 
@@ -143,3 +146,26 @@ def test_pair_rank_walks_near_pairs_and_sums_far_ones(spark):
     far = [(1, "a", 1.0), (500, "b", 0.4)]
     df = spark.createDataFrame([(far,)], "occ array<struct<pos:int,lexeme:string,w:double>>")
     assert df.select(lx.rank_pairs(df["occ"]).alias("r")).first().r == pytest.approx(math.sqrt(0.4) * 1e-15, rel=1e-6)
+
+
+def test_fuzzy_and_hybrid_ask_every_benchmark_text(spark, monkeypatch):
+    texts = [(1, "The old mill by the river. " * 3 + "A stone bridge leads over the quiet water."), (2, "Nothing of it here, only snow and ice."), (3, "Bridges of stone; the miller sleeps.")]
+    asked = [(7, "A stone bridge leads over the water."), (8, "The old miller by the quiet river sleeps."), (31, "snow and ice"), (32, " ")]
+    docs = spark.createDataFrame([(i, "t", x, "ready") for i, x in texts], "id bigint, title string, content string, indexing_status string")
+    t = SimpleNamespace(docs=docs, queries=spark.createDataFrame(asked, "query_id bigint, query string"))
+    want = {}
+    for q, query in asked:
+        mine = set(wordsim.ordered_trigrams(query))
+        for i, x in texts:
+            grams = wordsim.ordered_trigrams(x)
+            best = max(len(mine & (own := set(grams[a : b + 1]))) / len(mine | own) for a in range(len(grams)) for b in range(a, len(grams)))
+            if best > 0.1:
+                want[q, i] = round(best, 6)
+    assert {q for q, _ in want} == {7, 8, 31}
+    assert {(r.query_id, r.id): r.score for r in search_queries.fuzzy_search(t).collect()} == want
+    monkeypatch.setattr(wordsim, "CELLS", 64)  # many tiles and blocks
+    batch = wordsim.word_similarity_batch(pd.DataFrame(texts, columns=["id", "content"]), pd.DataFrame(asked, columns=["query_id", "query"]), 10, 0.1)
+    assert {(r.query_id, r.id): r.score for r in batch.itertuples()} == want
+    found = search_queries.hybrid_search(t).collect()
+    assert {r.query_id for r in found} == {7, 8, 31} and (31, 2, "fulltext") in {(r.query_id, r.id, r.source) for r in search.hybrid_merge({"fulltext": search.search_full_text(t.docs, t.queries)}).collect()}
+    assert all(r.score >= want.get((r.query_id, r.id), 0) for r in found)
