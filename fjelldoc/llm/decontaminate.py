@@ -5,7 +5,7 @@ items whose upper bound stays below the threshold are skipped for all passages o
 WAND walk over the posting lists of the blocks left finds the items above it. Impacts are divided by
 the item's own total, so a score is the share of the item's BM25 mass that a passage holds, and one
 threshold fits all items. What is retrieved is verified: the passage must hold the question's and the
-answer's word sequences.
+answer's words in order, each in a window little longer than it, or nearly all words of both.
 
 The index is broadcast in parts of at most `PART_WORDS` item words; each part is one pass over the documents.
 
@@ -29,9 +29,14 @@ from fjelldoc.llm.common import bounded_batches
 
 PART_WORDS = 1_000_000
 K1, B = 1.2, 0.75
-#: Share of an item's BM25 mass that retrieves it, and shares of its question's and answer's word sequences that confirm it.
+#: Share of an item's BM25 mass that retrieves it, and shares of its question's and answer's words that confirm it.
 RETRIEVE, QUESTION, ANSWER = 0.6, 0.6, 0.6
+#: Share of all its words that confirms an item whatever the parts hold.
+NEARLY_ALL = 0.8
+#: Words of a sequence; a part of fewer is measured together with the other one.
 SEQUENCE = 5
+#: A part of fewer words may miss one of them. Longer ones are matched in pieces of PIECE words.
+SHORT, PIECE = 10, 512
 BLOCK = 4
 LEAK = "array<struct<item_id:bigint,score:double,question:double,answer:double,first_word:bigint>>"
 
@@ -55,12 +60,44 @@ def sequences(of: list[str], n: int = SEQUENCE) -> set[tuple[str, ...]]:
     return {tuple(of[i : i + n]) for i in range(max(1, len(of) - n + 1))} if of else set()
 
 
+def in_order(wanted: list[str], passage: list[str]) -> int:
+    """How many words of `wanted` a window of the passage has in the same order, at most.
+
+    A window may be an eighth longer than the words on either side. The longest common subsequence is
+    counted with one bit per wanted word; pieces of a long part each have a window of their own.
+    """
+    total = 0
+    for start in range(0, len(wanted), PIECE):
+        piece = wanted[start : start + PIECE]
+        n, slack = len(piece), max(2, len(piece) // 8)
+        masks: dict[str, int] = {}
+        for i, w in enumerate(piece):
+            masks[w] = masks.get(w, 0) | 1 << i
+        held = [(j, masks[w]) for j, w in enumerate(passage) if w in masks]
+        places, full, best = [j for j, _ in held], (1 << n) - 1, 0
+        for first in range(-slack, len(passage), slack):
+            lo, hi = bisect_left(places, first), bisect_left(places, first + n + 2 * slack)
+            if hi - lo <= best:
+                continue
+            left = full
+            for _, mask in held[lo:hi]:
+                both = left & mask
+                left = ((left + both) | (left - both)) & full
+            best = max(best, n - left.bit_count())
+            if best == n:
+                break
+        total += best
+    return total
+
+
 @dataclass
 class Item:
     item_id: int
     question: set
     answer: set
     counts: Counter
+    question_words: list
+    answer_words: list
 
 
 class Index:
@@ -75,7 +112,7 @@ class Index:
             question, answer = question_and_answer(text)
             own = Counter(question + answer)
             if own:
-                self.items.append(Item(item_id, sequences(question), sequences(answer), own))
+                self.items.append(Item(item_id, sequences(question), sequences(answer), own, question, answer))
                 self.longest = max(self.longest, sum(own.values()))
         self.items.sort(key=lambda item: (sum(item.counts.values()), item.item_id))  # items of one block have like impacts
         self.terms: dict[str, int] = {}
@@ -174,12 +211,35 @@ class Index:
                 own_words = found[text][start : start + 2 * step]
                 held = held if held is not None else sequences(own_words)
                 item, best = self.items[number], out[text]
-                q = self._share(item.question, held, own_words)
-                a = self._share(item.answer, held, own_words) if item.answer else 1.0
-                if q >= question and a >= answer and (number not in best or score > best[number]["score"]):
+                if number in best and score <= best[number]["score"]:
+                    continue
+                confirmed, q, a = self._verified(item, held, own_words, question, answer)
+                if confirmed:
                     best[number] = {"item_id": item.item_id, "score": score, "question": q, "answer": a, "first_word": start}
         return [[best[n] for n in sorted(best)] for best in out]
 
+    def _verified(self, item: Item, held: set, passage: list[str], question: float, answer: float) -> tuple[bool, float, float]:
+        """Whether the passage holds the item, and the shares of its question and answer that it holds."""
+        q = self._share(item.question, held, passage)
+        a = self._share(item.answer, held, passage) if item.answer else 1.0
+        if q >= question and a >= answer:
+            return True, q, a
+        asked, answered = item.question_words, item.answer_words
+        if min(len(asked), len(answered)) >= SEQUENCE:
+            parts = [(asked, question), (answered, answer)]
+        elif len(asked) + len(answered) >= SEQUENCE:
+            parts = [(asked + answered, question)]
+        else:
+            return False, q, a
+        counts = [in_order(part, passage) for part, _ in parts]
+        shares = [n / len(part) for n, (part, _) in zip(counts, parts, strict=True)]
+        if len(parts) == 2:
+            q, a = max(q, shares[0]), max(a, shares[1])
+        else:
+            q = max(q, shares[0])
+        enough = all(s >= least and (len(part) >= SHORT or n + 1 >= len(part)) for n, s, (part, least) in zip(counts, shares, parts, strict=True))
+        return enough or sum(counts) >= NEARLY_ALL * (len(asked) + len(answered)), q, a
+
     @staticmethod
     def _share(wanted: set, held: set, passage: list[str]) -> float:
         n = len(next(iter(wanted)))

@@ -264,6 +264,47 @@ def test_leaks(spark, docs, none):
     assert not decontaminate.found_leaks(none, items).collect() and not decontaminate.found_leaks(docs, items.limit(0)).collect()
 
 
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        row = [0, *row]
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j + 1] + 1 if x == y else max(new[-1], row[j + 2]))
+        row = new
+    return row[-1]
+
+
+def test_in_order_equals_windows_by_brute_force():
+    for _ in range(60):
+        wanted, passage = ([rng.choice("abcdefgh") for _ in range(n)] for n in (rng.randint(1, 40), rng.randint(0, 90)))
+        n, slack = len(wanted), max(2, len(wanted) // 8)
+        windows = [passage[max(0, i) : max(0, i + n + 2 * slack)] for i in range(-slack, len(passage), slack)]
+        assert decontaminate.in_order(wanted, passage) == max((longest_common(wanted, w) for w in windows), default=0)
+
+
+def test_leaks_of_changed_copies(spark):
+    question, answer = ITEM.split("? ")
+    long = question.split() + ["under", "grey", "clouds", "while", "tall", "ships", "wait", "for", "wind"]
+    asked, said = " ".join(long) + "?", answer
+    short = " ".join(long) + "? By the lighthouse."
+    items = spark.createDataFrame([(1, asked + " " + said), (2, short)], "item_id long, text string")
+    around = lambda x: prose(40) + "\n" + x + "\n" + prose(40)
+
+    def changed(text, every):
+        return " ".join("other" if i % every == every // 2 else w for i, w in enumerate(text.split()))
+
+    texts = {0: asked + " " + said, 1: changed(asked + " " + said, 10), 2: changed(asked + " " + said, 20), 3: short, 4: " ".join(long) + "?", 5: changed(short, 10)}
+    texts |= {6: said, 7: " ".join(sorted(set((asked + " " + said).lower().replace("?", "").replace(".", "").split()))), 8: prose(30)}
+    docs = frame(spark, [(i, around(x)) for i, x in texts.items()])
+    got = defaultdict(set)
+    for r in decontaminate.found_leaks(docs, items).collect():
+        got[r.doc_id].add(r.item_id)
+    assert {1} <= got[0] and {1} <= got[1] and {1} <= got[2]
+    assert {2} <= got[3] and {2} <= got[4] and {2} <= got[5]
+    assert not {6, 7, 8} & set(got)
+
+
 def test_block_walk_equals_all_scores():
     items = [(i, prose(rng.randint(3, 30))) for i in range(60)]
     frequency = Counter(t for _, x in items for t in set(decontaminate.words(x)))
