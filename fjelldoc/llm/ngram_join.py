@@ -323,6 +323,15 @@ def _of_node(held: DataFrame, nameless: DataFrame | None, nodes: DataFrame, size
 
 
 def without_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One document of each component, the one with the smallest id; documents without words stay."""
-    found = near_components(docs, key, text, size, num, den).where(F.col(key).isNotNull() & (F.col(key) != F.col("component_id"))).select(key).distinct()
-    return docs.join(found, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One row of each class of like texts, the one with the smallest id (null last; the first of equal ones); rows without words stay.
+
+    Rows are numbered, so neither a null nor a repeated id makes two rows one.
+    """
+    row = "_row_number"
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    classes = near_components(rows, row, text, size, num, den).select(row, "component_id")
+    ids = rows.select(row, F.struct(F.col(key).isNull().alias("nameless"), F.col(key).alias("id"), F.col(row).alias("row")).alias("order"))
+    classes = written(classes.join(ids, row).select("component_id", "order"))
+    first = classes.groupBy("component_id").agg(F.min("order")["row"].alias(row))
+    dropped = classes.select(F.col("order")["row"].alias(row)).join(first, row, "left_anti")
+    return rows.join(dropped, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -256,6 +256,14 @@ def test_near_copies_leave_one(docs):
     assert kept[6] == 2 and not {7, 8, 9, 10} & set(kept) and {1, 2, 3, 4, 11, None} <= set(kept)
 
 
+def test_near_copies_leave_one_row(spark):
+    a, b, c, d = (prose(60) for _ in range(4))
+    rows = [(6, a), (5, a), (6, b), (None, c), (None, c), (None, c + " tail"), (7, d), (7, d), (None, d), (None, None), (None, ""), (8, "")]
+    kept = Counter((r.doc_id, r.text) for r in ngram_join.without_near_copies(frame(spark, rows)).collect())
+    assert {x: n for x, n in kept.items() if x[0] is not None or x[1] not in (c, c + " tail")} == {(5, a): 1, (6, b): 1, (7, d): 1, (None, None): 1, (None, ""): 1, (8, ""): 1}
+    assert kept[None, c] + kept[None, c + " tail"] == 1
+
+
 def test_leaks(spark, docs, none):
     items = spark.createDataFrame([(1, ITEM), (2, prose(40)), (3, None), (4, ""), (5, ITEM), (None, "x y z"), (6, "Short one.")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.found_leaks(docs, items).collect()}
