@@ -51,7 +51,7 @@ STAGES = [
     ("best-fit packing", packed),
 ]
 
-#: A classifier and a tokenizer are among the stages; tests compare them with brute force.
+#: A classifier and a tokenizer are among the stages; no test runs them as a chain yet.
 ORACLE_SQL = None
 
 

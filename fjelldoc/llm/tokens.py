@@ -2,7 +2,7 @@
 
 Both tokenizers split at white space before they merge, so the ids of a text are the ids of its words
 in order. A word is encoded once and remembered; the memo is dropped when it has grown to its bound.
-Results equal those of the library on the whole text (tests/llm/test_tokens.py).
+Results equal those of the library on the whole text (tests/llm/test_operators.py).
 """
 
 from __future__ import annotations
