@@ -31,6 +31,27 @@ def written(df: DataFrame, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Workspace:
+    """A folder of one operator's intermediate tables, which go when the last step that reads them is done."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root = spark, shared_folder(spark)
+
+    def write(self, df: DataFrame, name: str, **options: str) -> str:
+        path = f"{self.root}/{name}"
+        df.write.options(**options).parquet(path)
+        return path
+
+    def written(self, df: DataFrame, name: str, **options: str) -> DataFrame:
+        return self.spark.read.schema(df.schema).parquet(self.write(df, name, **options))
+
+    def drop(self, *names: str) -> None:
+        """Removes tables of this folder that nothing reads any more."""
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def numbered(df: DataFrame, groups: list[str], order: list[str], out: str) -> DataFrame:
     """Adds gapless numbers from 0 per group, also when one group or one id holds most rows.
 

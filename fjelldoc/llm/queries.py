@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fjelldoc.llm import decontaminate, licenses, ngram_join, packing, quality_rules, rule_ensemble, shard_tree, token_counts, tool_calls, training_order
+from fjelldoc.llm import bag_search, decontaminate, histogram_topk, licenses, ngram_join, packing, quality_rules, rule_ensemble, shard_tree, token_counts, tool_calls, training_order, turn_repair
+from fjelldoc.llm.oracles import REPAIR, SEARCH, TOP_K
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -89,3 +90,26 @@ def op8_tool_call_linking(spark, sf_dir):
     """Calls and results of all conversations, linked, ordered, checked and as canonical JSON."""
     linked = tool_calls.link(*tool_calls.from_conversations(table(spark, sf_dir, "conversations")), tool_calls.SCHEMAS)
     return linked.withColumn("errors", F.array_join("errors", "; "))
+
+
+@query
+def op11_histogram_topk(spark, sf_dir):
+    """The five best other vectors of every vector whose id is divisible by 50."""
+    vectors = table(spark, sf_dir, "embeddings")
+    found = histogram_topk.top_k(vectors, F.col("vec_id") % 50 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+@query
+def op12_turn_repair(spark, sf_dir):
+    """Damage and cheapest repair of all conversations."""
+    return turn_repair.digests(turn_repair.repair(turn_repair.damaged(table(spark, sf_dir, "conversations"))))
+
+
+@query
+def op13_bag_search(spark, sf_dir):
+    """The twenty best documents of every benchmark item."""
+    return bag_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES |= {"op11_histogram_topk": TOP_K, "op12_turn_repair": REPAIR, "op13_bag_search": SEARCH}
