@@ -68,6 +68,7 @@ class Queries:
         self.lo = [-b for b in bounds]
         width = max(1, -(-(2 * max(bounds) + 1) // BINS))
         self.width = 1 << (width - 1).bit_length()  # a power of two, so that bins are exact in floats too
+        self.bins = BINS
         self.above = [0] * len(rows)
         self.short = [False] * len(rows)
 
@@ -83,7 +84,9 @@ class Queries:
             self.lo[q] += at * self.width
             self.above[q] += over
         done = self.width == 1
-        self.width = max(1, self.width // BINS)
+        before = self.width
+        self.width = max(1, before // BINS)
+        self.bins = before // self.width  # the next range is the bin found, no wider
         return done
 
     def scores(self, batch) -> Iterator[tuple]:
@@ -136,7 +139,7 @@ def _histograms(sent):
                     bins = np.minimum(np.maximum((s - lo[part][:, None]) // block.width, -1), BINS).astype(np.int64)
                 else:
                     bins = np.clip(np.floor((s - lo[part].astype(s.dtype)[:, None]) * s.dtype.type(1 / block.width)), -1, BINS).astype(np.int64)
-                at, column = np.nonzero((bins >= floor[part][:, None]) & (bins < BINS) & live[part][:, None])
+                at, column = np.nonzero((bins >= floor[part][:, None]) & (bins < block.bins) & live[part][:, None])
                 if not len(at):
                     continue
                 counts[part] += np.bincount(at * BINS + bins[at, column], minlength=len(part) * BINS).reshape(len(part), BINS)
