@@ -34,6 +34,8 @@ TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 PART_TERMS, PART_ENTRIES = 500_000, 500_000
 #: Numbers that a task holds at once, and the share of items above which a word's list is a row of the matrix.
 CELLS, COMMON = 1 << 20, 0.05
+#: Hashes of wanted classes (16 bytes each) that are broadcast; beyond it they are joined by an exchange.
+SMALL = 1 << 17
 
 _plain = bytes(ord(chr(b).lower()) if chr(b) in string.ascii_letters + string.digits else 32 if b < 128 else b for b in range(256))
 
@@ -257,6 +259,8 @@ def search(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
     top = work.written(top.select("item", "score", "class", "hash", "m", "bags"), "top")
     # texts of the best classes, at most k a class: the hash finds them, the whole bag confirms them
     wanted = top.select("hash", "m").distinct()
+    if top.count() <= SMALL:
+        wanted = F.broadcast(wanted)
     inside = Window.partitionBy("hash", "m", "bags").orderBy(F.asc_nulls_last("id"), "row")
     few = keyed.select("row", "id", "m", "bags", "hash").join(wanted, ["hash", "m"], "left_semi").withColumn("place", F.row_number().over(inside)).where(F.col("place") <= k)
     chosen = few.select("row", "id", "hash", "m", "bags").join(top, ["hash", "m", "bags"]).select("item", "score", "id", "row")
