@@ -1,71 +1,63 @@
-"""Score every item against a set of queries, keeping only each batch's best rows.
+"""Score every item against a set of queries where the items lie, keeping only each task's best rows.
 
-There is one lazy plan for every size of the query set. Queries are cut by hash into blocks of bounded
-size, whose number is a scalar subquery; items are dealt into groups. In a sorted partition the
-queries of a block come before its items, so a task holds one block and one Arrow batch of items at
-a time. A batch's winners are enough: a global winner always wins in its own batch.
+There is one lazy plan for every size of the query set, and the items cross no exchange. The queries become one
+value, a scalar subquery that Spark evaluates once; the first row of each partition carries it, so a task has
+read the queries before its first item. A task's winners are enough: a global winner always wins in its own task.
+The value is bounded by `MAX_BYTES`; a larger query set is dealt by hash over `passes` scans of the items.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from typing import Protocol
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-Scorer = Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]
+#: Bytes of the queries of one pass.
+MAX_BYTES = 256 << 20
 
-#: Queries a task holds at once.
-MAX_QUERIES_PER_TASK = 2048
 
+class Scorer(Protocol):
+    """Takes a task's items batch by batch, then gives the rows to keep."""
 
-def _deal(items: DataFrame, queries: DataFrame, max_queries: int) -> DataFrame:
-    """(_group, _block, _side, item, asked), sorted so that the queries of a block precede its items."""
-    groups = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = queries.agg(F.greatest(F.ceil(F.count("*") / max_queries), F.lit(1)).cast("int").alias("n"))
+    def add(self, items: pd.DataFrame) -> None: ...
 
-    def dealt(df: DataFrame, n: Column) -> Column:
-        return F.pmod(F.xxhash64(*df.columns), n).cast("int")
+    def rows(self) -> pd.DataFrame: ...
 
-    def every(n: Column) -> Column:
-        return F.explode(F.sequence(F.lit(0), n - 1))
 
-    sized = items.withColumn("_n", blocks.scalar())
-    own = sized.select(dealt(items, F.lit(groups)).alias("_group"), every(F.col("_n")).alias("_block"), F.lit(1).alias("_side"), F.struct(*items.columns).alias("item"))
-    asked = queries.withColumn("_n", blocks.scalar())
-    asked = asked.select(every(F.lit(groups)).alias("_group"), dealt(queries, F.col("_n")).alias("_block"), F.lit(0).alias("_side"), F.struct(*queries.columns).alias("asked"))
-    both = own.unionByName(asked, allowMissingColumns=True)
-    return both.repartition(groups, "_group", "_block").sortWithinPartitions("_group", "_block", "_side").select("_group", "_block", "_side", "item", "asked")
-
-
-def score_batches(items: DataFrame, queries: DataFrame, scorer: Scorer, schema: str, max_queries: int = MAX_QUERIES_PER_TASK) -> DataFrame:
-    """Rows of `scorer(items, queries)` over all items and queries; nothing runs before an action."""
+def _scan(items: DataFrame, queries: DataFrame, make: Callable[[pd.DataFrame], Scorer], schema: str) -> DataFrame:
+    columns = queries.columns
+    row = F.struct(*columns)
+    size = F.sum(F.octet_length(F.to_json(row)))
+    packed = queries.agg(F.when(F.coalesce(size, F.lit(0)) <= MAX_BYTES, F.collect_list(row)).otherwise(F.raise_error(F.lit("more query bytes than one pass takes: give more passes"))).alias("asked"))
+    first = F.monotonically_increasing_id() % (1 << 33) == 0
 
     def scan(batches):
         import pyarrow as pa
 
-        at, asked = None, []
+        scorer = None
         for batch in batches:
-            keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)], axis=1)
-            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-            for start, stop in zip([0, *cuts], [*cuts, len(keys)], strict=True):
-                if start == stop:
-                    continue
-                group, block, side = keys[start].tolist()
-                if at != (group, block):
-                    at, asked = (group, block), []
-                rows = pa.RecordBatch.from_struct_array(batch.column(3 if side else 4).slice(start, stop - start)).to_pandas()
-                if not side:
-                    asked = [pd.concat([*asked, rows], ignore_index=True)]
-                elif asked:
-                    found = scorer(rows, asked[0])
-                    if len(found):
-                        yield pa.RecordBatch.from_pandas(found, preserve_index=False)
-
-    return _deal(items, queries, max_queries).mapInArrow(scan, schema)
+            if not batch.num_rows:
+                continue
+            if scorer is None:
+                asked = batch.column(1)[0]
+                scorer = make(pd.DataFrame(asked.as_py() or [], columns=columns))
+            scorer.add(pa.RecordBatch.from_struct_array(batch.column(0)).to_pandas())
+        found = scorer.rows() if scorer is not None else None
+        if found is not None and len(found):
+            yield pa.RecordBatch.from_pandas(found, preserve_index=False)
+
+    return items.select(F.struct(*items.columns).alias("item"), F.when(first, packed.scalar()).alias("asked")).mapInArrow(scan, schema)
+
+
+def scan_items(items: DataFrame, queries: DataFrame, make: Callable[[pd.DataFrame], Scorer], schema: str, passes: int = 1) -> DataFrame:
+    """The rows that `make(queries)` keeps of each partition of the items; nothing runs before an action."""
+    parts = [queries] if passes == 1 else [queries.where(F.pmod(F.xxhash64(*queries.columns), F.lit(passes)) == i) for i in range(passes)]
+    return reduce(DataFrame.unionByName, [_scan(items, part, make, schema) for part in parts])
 
 
 def top_k(df: DataFrame, key: str, score: str, tie: str, k: int) -> DataFrame:

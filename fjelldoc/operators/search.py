@@ -13,8 +13,8 @@ from pyspark.sql.window import Window
 from fjelldoc.functions import lexemes as lx
 from fjelldoc.functions.text import snippet
 from fjelldoc.functions.trigrams import set_similarity, trigram_set
-from fjelldoc.operators.scoring import score_batches, top_k
-from fjelldoc.operators.wordsim import word_similarity_batch
+from fjelldoc.operators.scoring import scan_items, top_k
+from fjelldoc.operators.wordsim import BestTexts
 
 # Searchable states, default result size, trigram threshold.
 SEARCHABLE = ("ready", "partial")
@@ -120,27 +120,51 @@ def _unit_rows(vectors: pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return rows, ok
 
 
-def cosine_batch(items: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Per query, the best chunk of every document in the batch, then the best k documents.
+#: Queries whose scores a task holds at once.
+MAX_QUERIES = 2048
+
+
+class BestChunks:
+    """Per query, the best chunk of every document and the best k documents, over any number of batches.
 
     A query meets the items of its own dimension; one without a usable vector has no hits.
     """
-    parts = []
-    sizes = queries["embedding"].map(lambda v: 0 if v is None else len(v))
-    for dim, asked in queries[sizes > 0].groupby(sizes[sizes > 0]):
-        q, q_ok = _unit_rows(asked["embedding"], dim)
-        v, v_ok = _unit_rows(items["embedding"], dim)
-        ids, chunks = items["id"].to_numpy()[v_ok], items["chunk_id"].to_numpy()[v_ok]
-        scores = np.round(v[v_ok] @ q.T, 6)
-        for col in np.flatnonzero(q_ok):
-            s = scores[:, col]
-            order = np.lexsort((chunks, -s, ids))
-            first = order[np.r_[True, np.diff(ids[order]) != 0]] if len(order) else order
-            best = first[np.lexsort((ids[first], -s[first]))][:k]
-            parts.append(
-                pd.DataFrame({"query_id": asked["query_id"].iloc[col], "id": ids[best], "chunk_id": chunks[best], "score": s[best]})
-            )
-    return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "id": [], "chunk_id": [], "score": []})
+
+    def __init__(self, queries: pd.DataFrame, k: int, max_queries: int = MAX_QUERIES):
+        self.k, self.blocks, self.parts = k, [], []
+        sizes = queries["embedding"].map(lambda v: 0 if v is None else len(v))
+        for dim, asked in queries[sizes > 0].groupby(sizes[sizes > 0]):
+            q, ok = _unit_rows(asked["embedding"], dim)
+            ids, q = asked["query_id"].to_numpy()[ok], q[ok]
+            self.blocks += [(dim, ids[i : i + max_queries], q[i : i + max_queries]) for i in range(0, len(ids), max_queries)]
+
+    def add(self, items: pd.DataFrame) -> None:
+        units: dict[int, tuple] = {}
+        for dim, query_ids, q in self.blocks:
+            if dim not in units:
+                v, ok = _unit_rows(items["embedding"], dim)
+                ids, chunks = items["id"].to_numpy()[ok], items["chunk_id"].to_numpy()[ok]
+                order = np.lexsort((chunks, ids))
+                units[dim] = v[ok][order], ids[order], chunks[order], np.flatnonzero(np.r_[True, np.diff(ids[order]) != 0])
+            v, ids, chunks, starts = units[dim]
+            if not len(ids):
+                continue
+            scores = np.round(v @ q.T, 6)
+            best = np.maximum.reduceat(scores, starts, axis=0)
+            for col, query_id in enumerate(query_ids.tolist()):
+                docs = np.lexsort((ids[starts], -best[:, col]))[: self.k]
+                # of a document's equally good chunks the one with the least id, which comes first
+                ends = np.append(starts[1:], len(ids))
+                at = [starts[d] + int(np.argmax(scores[starts[d] : ends[d], col])) for d in docs]
+                self.parts.append(pd.DataFrame({"query_id": query_id, "id": ids[at], "chunk_id": chunks[at], "score": scores[at, col]}))
+        if len(self.parts) > 4096:
+            self.parts = [self.rows()]
+
+    def rows(self) -> pd.DataFrame:
+        if not self.parts:
+            return pd.DataFrame({"query_id": [], "id": [], "chunk_id": [], "score": []})
+        rows = pd.concat(self.parts).sort_values(["query_id", "id", "score", "chunk_id"], ascending=[True, True, False, True]).drop_duplicates(["query_id", "id"])
+        return rows.sort_values(["query_id", "score", "id"], ascending=[True, False, True]).groupby("query_id").head(self.k)
 
 
 def check_vectors(queries: DataFrame, dim: int) -> DataFrame:
@@ -151,10 +175,11 @@ def check_vectors(queries: DataFrame, dim: int) -> DataFrame:
     return queries.withColumn("error", reason.when(F.coalesce(length, F.lit(0.0)) == 0, "vector without a direction"))
 
 
-def _nearest(items: DataFrame, queries: DataFrame, limit: int, max_queries: int | None = None) -> DataFrame:
+def _nearest(items: DataFrame, queries: DataFrame, limit: int, max_queries: int | None = None, passes: int = 1) -> DataFrame:
+    """Items are scored where they lie; a query set beyond one pass takes several scans."""
     schema = "query_id bigint, id bigint, chunk_id bigint, score double"
-    bound = {} if max_queries is None else {"max_queries": max_queries}
-    rows = score_batches(items, queries.select("query_id", "embedding"), partial(cosine_batch, k=limit), schema, **bound)
+    make = partial(BestChunks, k=limit, max_queries=max_queries or MAX_QUERIES)
+    rows = scan_items(items.select("id", "chunk_id", "embedding"), queries.select("query_id", "embedding"), make, schema, passes)
     w = Window.partitionBy("query_id", "id").orderBy(F.col("score").desc(), "chunk_id")
     per_doc = rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
     return top_k(per_doc, "query_id", "score", "id", limit)
@@ -214,18 +239,16 @@ def title_similarity(docs: DataFrame, queries: DataFrame, threshold: float = FUZ
     return shared.filter(score > threshold).select("query_id", "id", F.round(score, 6).alias("similarity"))
 
 
-def search_fuzzy(docs: DataFrame, queries: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
+def search_fuzzy(docs: DataFrame, queries: DataFrame, limit: int = DEFAULT_LIMIT, passes: int = 1) -> DataFrame:
     """Greater of title similarity and word similarity in the content, above the threshold."""
     found = searchable(docs)
     in_title = top_k(title_similarity(found, queries), "query_id", "similarity", "id", limit).select(
         "query_id", "id", F.col("similarity").alias("score")
     )
-    in_text = score_batches(
-        found.select("id", "content"),
-        usable_queries(queries),
-        partial(word_similarity_batch, k=limit, threshold=FUZZY_THRESHOLD),
-        "query_id bigint, id bigint, score double",
-    )
+    make = partial(BestTexts, k=limit, threshold=FUZZY_THRESHOLD)
+    # sweeping a text costs far more than moving it, so texts are dealt evenly first
+    texts = found.select("id", "content").repartition(F.col("id"))
+    in_text = scan_items(texts, usable_queries(queries).select("query_id", "query"), make, "query_id bigint, id bigint, score double", passes)
     best = in_title.unionByName(in_text).groupBy("query_id", "id").agg(F.max("score").alias("score"))
     return top_k(best, "query_id", "score", "id", limit)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fjelldoc.functions import vectors
 from fjelldoc.operators import ann, embed, search, wordsim
-from fjelldoc.operators.wordsim import TextExtents, best_extent, ordered_trigrams, word_similarity_batch
+from fjelldoc.operators.wordsim import ordered_trigrams, word_similarity_batch
 from fjelldoc.plans import search_queries
 from fjelldoc.plans.search_queries import doc_vectors, label_vectors
 
@@ -37,10 +37,40 @@ def test_word_similarity_is_the_greatest_over_all_extents(seed):
     assert got["score"].iloc[0] == pytest.approx(brute(query, text), abs=1e-6)
 
 
-def test_word_similarity_beyond_the_table_reach():
-    codes = np.array([0, 9, 9, 9, 9, 9, 9, 9, 1, 9, 9, 9, 9, 2])
-    extents = TextExtents(codes, 3)
-    assert best_extent(codes, np.array([0, 1, 2]), extents) == pytest.approx(3 / 4)
+@pytest.mark.parametrize("seed, block", [(1, 2), (2, 4), (3, 32), (4, 3), (5, 8)])
+def test_best_texts_equal_brute_force(seed, block, monkeypatch):
+    """Many texts and queries, some long, with bounds, limits and sweeps over many blocks."""
+    monkeypatch.setattr(wordsim, "BLOCK", block)
+    monkeypatch.setattr(wordsim, "CELLS", 64 if seed % 2 else 1 << 20)
+    rng = np.random.default_rng(seed)
+    words = ["kultur", "minne", "kulturminne", "vei", "veien", "natur", "området", "a", "bro", "brua", "stein", "x1"]
+    texts = [" ".join(rng.choice(words, n)) for n in (0, 1, 2, 5, 9, 14, 20, 26, 30, 30)] + ["", None, "!!", "zzz yyy"]
+    queries = [" ".join(rng.choice(words, n)) for n in (1, 2, 3, 5)] + ["", "qqq", "vei q"]
+    want = {}
+    for q, query in enumerate(queries):
+        scored = [(-round(brute(query, x or ""), 6), i) for i, x in enumerate(texts)]
+        want |= {(q, i): -s for s, i in sorted((s, i) for s, i in scored if -s > 0.1)[:4]}
+    best = wordsim.BestTexts(pd.DataFrame({"query_id": range(len(queries)), "query": queries}), 4, 0.1)
+    frame = pd.DataFrame({"id": range(len(texts)), "content": texts})
+    for part in (frame[:5], frame[5:]):
+        best.add(part)
+    assert {(r.query_id, r.id): r.score for r in best.rows().itertuples()} == want
+
+
+def test_queries_in_several_passes_and_items_without_exchange(tables, monkeypatch):
+    chunks = tables.embeddings.select(F.col("vec_id").alias("id"), F.col("vec_id").alias("chunk_id"), "embedding")
+    asked = tables.embeddings.select(F.col("vec_id").alias("query_id"), "embedding")
+    key = lambda df: sorted((r.query_id, r.rank, r.id, r.score) for r in df.collect())
+    once = search._nearest(chunks, asked, 5)
+    assert key(once) == key(search._nearest(chunks, asked, 5, passes=3))
+    plan = once._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("MapInArrow") :].split("Subquery")[0]
+    assert "Exchange" not in below
+    from fjelldoc.operators import scoring
+
+    monkeypatch.setattr(scoring, "MAX_BYTES", 10)
+    with pytest.raises(Exception, match="give more passes"):
+        search._nearest(chunks, asked, 5).collect()
 
 
 def test_large_query_sets_give_the_same_hits(tables):
@@ -163,7 +193,8 @@ def test_fuzzy_and_hybrid_ask_every_benchmark_text(spark, monkeypatch):
                 want[q, i] = round(best, 6)
     assert {q for q, _ in want} == {7, 8, 31}
     assert {(r.query_id, r.id): r.score for r in search_queries.fuzzy_search(t).collect()} == want
-    monkeypatch.setattr(wordsim, "CELLS", 64)  # many tiles and blocks
+    monkeypatch.setattr(wordsim, "CELLS", 64)
+    monkeypatch.setattr(wordsim, "BLOCK", 5)  # many blocks
     batch = wordsim.word_similarity_batch(pd.DataFrame(texts, columns=["id", "content"]), pd.DataFrame(asked, columns=["query_id", "query"]), 10, 0.1)
     assert {(r.query_id, r.id): r.score for r in batch.itertuples()} == want
     found = search_queries.hybrid_search(t).collect()
