@@ -35,11 +35,12 @@ class Workspace:
     """A folder of one operator's intermediate tables, which go when the last step that reads them is done."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.root = spark, shared_folder(spark)
+        self.spark, self.root, self.names = spark, shared_folder(spark), set()
 
     def write(self, df: DataFrame, name: str, **options: str) -> str:
         path = f"{self.root}/{name}"
         df.write.options(**options).parquet(path)
+        self.names.add(name)
         return path
 
     def written(self, df: DataFrame, name: str, **options: str) -> DataFrame:
@@ -50,6 +51,10 @@ class Workspace:
         for name in names:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self.names.discard(name)
+
+    def drop_all_but(self, *kept: str) -> None:
+        self.drop(*(self.names - set(kept)))
 
 
 def numbered(df: DataFrame, groups: list[str], order: list[str], out: str) -> DataFrame:

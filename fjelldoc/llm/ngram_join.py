@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fjelldoc.llm.common import bounded_batches, slices, utf8, written
+from fjelldoc.llm.common import Workspace, bounded_batches, slices, utf8
 
 GROUPS = 32
 #: Groups of the coarser points that travel with every key.
@@ -87,7 +87,7 @@ def _word_cells(docs: DataFrame, text: str) -> np.ndarray:
     return out
 
 
-def _points(docs: DataFrame, key: str, text: str, size: int, num: int, den: int) -> DataFrame:
+def _points(work: Workspace, docs: DataFrame, key: str, text: str, size: int, num: int, den: int) -> DataFrame:
     """_id, node (hash of the set), n, keys (the shingles it may be found by) and point for each row."""
     weights = np.minimum(np.round(1.5 * np.log2(1 + _word_cells(docs, text))), 63).astype(np.uint64)
     sent = docs.sparkSession.sparkContext.broadcast(weights)
@@ -95,7 +95,6 @@ def _points(docs: DataFrame, key: str, text: str, size: int, num: int, den: int)
 
     def describe(batches):
         import pyarrow as pa
-        import xxhash
 
         rarity = sent.value
         for batch in batches:
@@ -117,7 +116,7 @@ def _points(docs: DataFrame, key: str, text: str, size: int, num: int, den: int)
                     rank = (np.minimum.reduce(each) << np.uint64(9)) | np.minimum(sum(each), 511)
                     order = np.argsort((rank << np.uint64(49)) | (own >> np.uint64(15)), kind="stable")
                     prefix = len(own) - -(-num * len(own) // den) + 1
-                    node.append(xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63))
+                    node.append(_node(own))
                     keys.append(own[order[:prefix]].view(np.int64))
                     points.append(np.bincount((own % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS))
                 yield pa.RecordBatch.from_arrays(
@@ -125,7 +124,7 @@ def _points(docs: DataFrame, key: str, text: str, size: int, num: int, den: int)
                     ["_id", "node", "n", "keys", "point"],
                 )
 
-    return written(docs.select(key, text).mapInArrow(describe, f"_id {kind}, node long, n long, keys array<long>, point array<int>"))
+    return work.written(docs.select(key, text).mapInArrow(describe, f"_id {kind}, node long, n long, keys array<long>, point array<int>"), "points")
 
 
 def bound(a: Column, b: Column) -> Column:
@@ -155,7 +154,44 @@ def _likely(docs: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     return docs.where(may_be(F.pmod(F.xxhash64(key), F.lit(BITS))))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
+class Texts:
+    """The texts of nodes: found by the id of one of their rows, or by their set where no row has an id."""
+
+    def __init__(self, rows: DataFrame, key: str, text: str, nodes: DataFrame, size: int, nameless: bool):
+        self.rows, self.key, self.text, self.nodes, self.size = rows.where(F.col(key).isNotNull()), key, text, nodes.select("node", "_id"), size
+        self.nameless = _of_set(rows.where(F.col(key).isNull()).select(F.col(text).alias("text")), size) if nameless else None
+
+    def of(self, sides: DataFrame) -> DataFrame:
+        """The rows of `sides` with their node's text; rows of one id may have several, of which the reader takes those of the node's set."""
+        named = sides.join(self.nodes, "node")
+        held = _likely(self.rows, self.key, named.select("_id")).join(named, F.col(self.key) == F.col("_id")).select(*sides.columns, F.col(self.text).alias("text"))
+        if self.nameless is not None:
+            held = held.unionByName(named.where("_id is null").join(self.nameless, "node").select(*sides.columns, "text"))
+        return held
+
+
+def _of_set(rows: DataFrame, size: int) -> DataFrame:
+    """node, text for each text with words: one row per node."""
+
+    def hashed(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [_node(np.unique(shingles(_hashes.of(t), size))) for t in utf8(batch.column(0))]
+            out = pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), batch.column(0)], ["node", "text"])
+            yield out.filter(out.column(0).is_valid())
+
+    return rows.mapInArrow(hashed, "node long, text string").groupBy("node").agg(F.min("text").alias("text"))
+
+
+def _node(own: np.ndarray) -> int | None:
+    """The hash of a set of shingles."""
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63) if len(own) else None
+
+
+def _verified(pairs: DataFrame, texts: Texts, size: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the threshold.
 
     Each b meets its partners in portions of bounded number; a task holds one set of b at a time.
@@ -163,7 +199,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int)
     portions = pairs.groupBy("b").agg(F.ceil(F.count("*") / 256).alias("of"))
     dealt = pairs.join(portions, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("of")).alias("portion"))
     sides = dealt.select("b", "portion", F.lit(1).alias("side"), F.col("a").alias("node")).unionByName(dealt.select("b", "portion").distinct().select("b", "portion", F.lit(0).alias("side"), F.col("b").alias("node")))
-    rows = sides.join(texts, "node").repartition("b", "portion").sortWithinPartitions("b", "portion", "side").select("b", "side", "node", "text")
+    rows = texts.of(sides).repartition("b", "portion").sortWithinPartitions("b", "portion", "side").select("b", "side", "node", "text")
 
     def compare(batches):
         import pyarrow as pa
@@ -173,6 +209,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int)
             a, b = [], []
             for of, side, node, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), utf8(batch.column(3)), strict=True):
                 these = np.unique(shingles(_hashes.of(t), size))
+                if _node(these) != node:  # another text of the same id
+                    continue
                 if not side:
                     own = these
                     continue
@@ -185,21 +223,24 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int)
     return rows.mapInArrow(compare, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, work: Workspace | None = None, name: str = "links") -> DataFrame:
     """u, root: each node of the edges (u, v) but the roots with the smallest node of its component.
 
     Large-star and small-star steps in turn until nothing changes; each step is a minimum per node and a join.
     """
-    links = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    work = work or Workspace(edges.sparkSession)
     mark = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    before = mark(links)
+    links = work.written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}-0")
+    before, step = mark(links), 0
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         below = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(below, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(below.select("u", F.col("m").alias("v")))
-        links = written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        step += 1
+        links = work.written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}-{step}")
+        work.drop(f"{name}-{step - 1}")
         now = mark(links)
         if now == before:
             return links.select("u", F.col("v").alias("root"))
@@ -216,17 +257,20 @@ def _coarse(point: Column, at: int) -> Column:
     return sum(own[1:], own[0]).cast("bigint")
 
 
-def _other_pairs(members: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+def _other_pairs(work: Workspace, members: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of one key and two components whose sizes, boxes and points allow a link.
 
     Keys of more than LEAF texts are cut into leaves by size, and leaves whose boxes can't link don't meet.
+    A pair that shares several keys meets under the least of them only: each row carries its text's lesser keys.
     """
     c = F.col
+    own = members.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("own"))  # at most the keys of one text
+    members = members.join(own, "node").withColumn("earlier", F.slice("own", F.lit(1), F.array_position("own", c("key")).cast("int") - 1)).drop("own")
     coarse = [f"c{i}" for i in range(COARSE)]
     crowd = members.groupBy("key").agg(F.ceil(F.count("*") / LEAF).alias("of"))
     dealt = members.join(nodes.select("node", "n", "point", *[_coarse(c("point"), i).alias(x) for i, x in enumerate(coarse)]), "node").join(crowd, "key")
     leaf = F.floor(F.log(c("n").cast("double")) * 10) * (1 << 24) + F.pmod(F.xxhash64("node"), c("of"))
-    leaves = written(dealt.select("key", "node", "root", "n", "point", *coarse, F.when(c("of") > 1, leaf).otherwise(F.lit(0)).alias("leaf"), (c("of") > 1).alias("crowded")))
+    leaves = work.written(dealt.select("key", "node", "root", "n", "point", "earlier", *coarse, F.when(c("of") > 1, leaf).otherwise(F.lit(0)).alias("leaf"), (c("of") > 1).alias("crowded")), "leaves")
     boxes = (
         leaves.where("crowded")
         .groupBy("key", "leaf")
@@ -239,14 +283,15 @@ def _other_pairs(members: DataFrame, nodes: DataFrame, num: int, den: int) -> Da
     near &= (c("x.root0") != c("x.root1")) | (c("y.root0") != c("y.root1")) | (c("x.root0") != c("y.root0"))
     meeting = x.join(y, near).select(c("x.key").alias("key"), c("x.leaf").alias("leaf"), c("y.leaf").alias("other"))
     meeting = meeting.unionByName(leaves.where("not crowded").select("key", "leaf", c("leaf").alias("other")).distinct())
-    left = leaves.select("key", "leaf", c("node").alias("a"), c("n").alias("n"), c("root").alias("ra"), c("point").alias("pa"), *[c(x).alias(f"a{x}") for x in coarse])
-    right = leaves.select("key", c("leaf").alias("other"), c("node").alias("b"), c("n").alias("m"), c("root").alias("rb"), c("point").alias("pb"), *[c(x).alias(f"b{x}") for x in coarse])
+    left = leaves.select("key", "leaf", c("node").alias("a"), c("n").alias("n"), c("root").alias("ra"), c("point").alias("pa"), c("earlier").alias("ea"), *[c(x).alias(f"a{x}") for x in coarse])
+    right = leaves.select("key", c("leaf").alias("other"), c("node").alias("b"), c("n").alias("m"), c("root").alias("rb"), c("point").alias("pb"), c("earlier").alias("eb"), *[c(x).alias(f"b{x}") for x in coarse])
     allowed = (c("ra") != c("rb")) & ((c("leaf") != c("other")) | (c("a") < c("b"))) & (den * c("n") >= num * c("m")) & (den * c("m") >= num * c("n"))
     minima = [F.least(c(f"a{x}"), c(f"b{x}")) for x in coarse]
     allowed &= (num + den) * sum(minima[1:], minima[0]) >= num * (c("n") + c("m"))
     # the few pairs left by the coarse sums meet the whole points; a loop, since 32 written-out minima are too long to be compiled
     overlap = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.least(x, y)), F.lit(0), lambda most, x: most + x)
     allowed &= (num + den) * overlap >= num * (c("n") + c("m"))
+    allowed &= ~F.arrays_overlap("ea", "eb")
     pairs = meeting.join(left, ["key", "leaf"]).join(right, ["key", "other"]).where(allowed)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -265,61 +310,44 @@ def _within_bound(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> Dat
 def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """key, n_shingles and component_id (the smallest key reachable by links of num/den or more) for each row."""
     bounded_batches(docs.sparkSession)
+    work = Workspace(docs.sparkSession)
     rows = docs.select(key, text)
-    points = _points(rows, key, text, size, num, den)
+    points = _points(work, rows, key, text, size, num, den)
     keyed = points.where("n > 0").select("node", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
-    members = written(keyed.join(shared, "key").distinct())
+    members = work.written(keyed.join(shared, "key").distinct(), "members")
     described = points.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min_by(F.struct("n", "point"), F.coalesce("_id", F.lit(0))).alias("d"), F.min("_id").alias("_id"))
-    nodes = written(described.select("node", "d.*", "_id"))
-    # texts of the nodes that share a key: one row each, checked by its set's hash
-    wanted = nodes.select("_id", "node")
-    held = _likely(rows.where(F.col(key).isNotNull()), key, wanted).join(wanted, F.col(key) == F.col("_id")).select("node", F.col(text).alias("text"))
-    nameless = points.where("_id is null").limit(1).count() and rows.where(F.col(key).isNull()).select(F.col(text).alias("text"))
-    texts = written(_of_node(held, nameless or None, nodes, size))
+    nodes = work.written(described.select("node", "d.*", "_id"), "nodes")
+    texts = Texts(rows, key, text, nodes, size, nodes.where("_id is null").limit(1).count() > 0)
     # a star per key around the text that shares the most keys: an original, if the others are its copies
     weights = members.groupBy("node").agg(F.count("*").alias("w"))
     centres = members.join(weights, "node").groupBy("key").agg(F.max(F.struct("w", "node"))["node"].alias("b"))
     star = members.join(centres, "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    star = written(_within_bound(star, nodes, num, den))
-    first = written(_verified(star, texts, size, num, den))
-    rooted = written(_with_roots(members, components(first.select(F.col("a").alias("u"), F.col("b").alias("v")))))
-    split = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    rest = _other_pairs(written(rooted.join(split, "key")), nodes, num, den)
+    star = work.written(_within_bound(star, nodes, num, den), "star")
+    first = work.written(_verified(star, texts, size, num, den), "first")
+    rooted = _with_roots(members, components(first.select(F.col("a").alias("u"), F.col("b").alias("v")), work, "first-links"))
+    # keys with the same texts are one key; a key inside one component needs no comparison
+    same = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("texts"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)")).alias("s"))
+    split = same.where("lo < hi").groupBy("texts", "x", "s").agg(F.min("key").alias("key")).select("key")
+    crowd = work.written(rooted.join(split, "key"), "crowd")
+    work.drop("members")
+    # written before the star's pairs are left out, else they would be looked for once a key
+    rest = work.written(_other_pairs(work, crowd, nodes, num, den), "rest")
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = written(_within_bound(rest.join(tried, ["a", "b"], "left_anti"), nodes, num, den))
-    second = written(_verified(rest, texts, size, num, den))
+    left = work.written(rest.join(tried, ["a", "b"], "left_anti"), "left")
+    second = work.written(_verified(left, texts, size, num, den), "second")
     same_id = points.where("_id is not null and n > 0").groupBy("_id").agg(F.min("node").alias("u"), F.max("node").alias("v")).where("u < v")
     same_id = points.where("n > 0").join(same_id.select("_id", "u"), "_id").select("u", F.col("node").alias("v")).where("u <> v").distinct()
     links = first.unionByName(second).select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(same_id)
     named = points.where("n > 0").groupBy("node").agg(F.min("_id").alias("_id"))
-    roots = _with_roots(named, components(links))
+    roots = _with_roots(named, components(links, work, "all-links"))
     smallest = roots.groupBy("root").agg(F.min("_id").alias("component_id"))
     of_node = roots.join(smallest, "root").select("node", "component_id")
     out = points.select("_id", "n", "node").join(of_node, "node", "left")
-    return out.select(F.col("_id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"))
-
-
-def _of_node(held: DataFrame, nameless: DataFrame | None, nodes: DataFrame, size: int) -> DataFrame:
-    """node, text: one row for each node, of a text that has that node's set (an id can have several texts)."""
-
-    def check(batches):
-        import pyarrow as pa
-        import pyarrow.compute as pc
-        import xxhash
-
-        for batch in batches:
-            found = [xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63) if len(own := np.unique(shingles(_hashes.of(t), size))) else None for t in utf8(batch.column(1))]
-            own = pa.array(found, pa.int64())
-            node = batch.column(0)
-            keep = pc.fill_null(pc.equal(pc.coalesce(node, own), own), False)
-            yield pa.RecordBatch.from_arrays([own, batch.column(1)], ["node", "text"]).filter(keep)
-
-    rows = held
-    if nameless is not None:
-        rows = rows.unionByName(nameless.select(F.lit(None).cast("long").alias("node"), "text"))
-    checked = rows.mapInArrow(check, "node long, text string")
-    return checked.join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+    out = out.select(F.col("_id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"))
+    out = work.written(out, "out")
+    work.drop_all_but("out")
+    return out
 
 
 def without_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -327,11 +355,12 @@ def without_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text"
 
     Rows are numbered, so neither a null nor a repeated id makes two rows one.
     """
-    row = "_row_number"
-    rows = written(docs.withColumn(row, F.monotonically_increasing_id()))
-    classes = near_components(rows, row, text, size, num, den).select(row, "component_id")
-    ids = rows.select(row, F.struct(F.col(key).isNull().alias("nameless"), F.col(key).alias("id"), F.col(row).alias("row")).alias("order"))
-    classes = written(classes.join(ids, row).select("component_id", "order"))
-    first = classes.groupBy("component_id").agg(F.min("order")["row"].alias(row))
-    dropped = classes.select(F.col("order")["row"].alias(row)).join(first, row, "left_anti")
-    return rows.join(dropped, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    work = Workspace(docs.sparkSession)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = work.written(docs.select(row, F.monotonically_increasing_id().alias("number")), "rows")
+    classes = near_components(rows.select("number", F.col(f"row.`{text}`").alias("text")), "number", "text", size, num, den).select("number", "component_id")
+    ids = rows.select("number", F.struct(F.col(f"row.`{key}`").isNull().alias("nameless"), F.col(f"row.`{key}`").alias("id"), F.col("number").alias("n")).alias("order"))
+    classes = work.written(classes.join(ids, "number").select("component_id", "order"), "classes")
+    first = classes.groupBy("component_id").agg(F.min("order")["n"].alias("number"))
+    dropped = classes.select(F.col("order")["n"].alias("number")).join(first, "number", "left_anti")
+    return rows.join(dropped, "number", "left_anti").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
