@@ -18,6 +18,7 @@ MEMO_BYTES = 64
 class WordIds:
     """Ids of a `tokenizers` file whose pre-tokenizer drops white space; little-endian unsigned 32-bit."""
 
+    kind = "<u4"
     _latin = re.compile(r"[a-zß-öø-ÿ!-&(-/:-@\[-`{-~]+")
     _runs = re.compile(r"[a-zß-öø-ÿ]+|[^a-zß-öø-ÿ]+")
 
@@ -50,12 +51,12 @@ class WordIds:
             low = text.lower()
             if "<|" not in text and self._latin.fullmatch(low):
                 ids = [i for run in self._runs.findall(low) for i in self._run(run)]
-                found[word] = self.np.array(ids, "<u4").tobytes()
+                found[word] = self.np.array(ids, self.kind).tobytes()
             else:
                 rest.append(word)
         encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False)
         for word, e in zip(rest, encoded, strict=True):
-            found[word] = self.np.array(e.ids, "<u4").tobytes()
+            found[word] = self.np.array(e.ids, self.kind).tobytes()
         return found
 
     def __call__(self, texts: list[bytes | None]) -> list[bytes]:
@@ -73,6 +74,12 @@ class WordIds:
         return out
 
 
+class NarrowIds(WordIds):
+    """The same as unsigned 16-bit, for vocabularies whose ids fit."""
+
+    kind = "<u2"
+
+
 class PieceCounts:
     """Token counts of a `sentencepiece` model of the kind that marks spaces and never merges across a word's end."""
 

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from fjelldoc.llm.common import bounded_batches, shared_folder, slices, utf8, written
 
 ROUNDS = 4
+#: Slots of a shard at least, and shards at most.
+LEAST_SHARD, MOST_SHARDS = 8192, 1 << 16
 
 
 def feistel(numbers, size: int, key: int):
@@ -48,61 +50,63 @@ def feistel(numbers, size: int, key: int):
 
 
 def token_sequences(docs: DataFrame, tokenizer_path: str, length: int = 1024, pad: int = 0xFFFF, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, piece, n_tokens, ids_crc32, packed, task, place: up to `length` ids of two bytes each, filled with `pad`, as zstd.
+    """key, piece, n_tokens, ids_crc32, ids, stride, task, place: up to `length` ids of two bytes each.
 
-    task and place say which task made the sequence and as which of its own.
+    stride is the number of bytes that a record gets; task and place say which task made the sequence and as which of its own. The vocabulary's ids must lie below `pad`.
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select(key, text)
     kind = rows.schema[key].dataType.simpleString()
 
     def cut(batches):
-        import numpy as np
         import pyarrow as pa
-        import zstandard
         from pyspark import TaskContext
 
-        from fjelldoc.llm.tokens import WordIds, loaded
+        from fjelldoc.llm.tokens import NarrowIds, loaded
 
-        task, made = TaskContext.get().partitionId(), 0
-        encode, squeeze = loaded(WordIds, tokenizer_path), zstandard.ZstdCompressor(level=1).compress
-        filler = pad.to_bytes(2, "little")
+        task, made, width = TaskContext.get().partitionId(), 0, 2 * length
+        encode = loaded(NarrowIds, tokenizer_path)
+        if encode.tokenizer.get_vocab_size() > pad:
+            raise ValueError(f"the vocabulary's ids don't fit in two bytes below the padding {pad}")
         for batch in batches:
             for part in slices(batch, text):
-                of, piece, count, crc, packed = [], [], [], [], []
+                of, piece, cuts = [], [], []
                 for row, ids in enumerate(encode(utf8(part.column(text)))):
-                    wide = np.frombuffer(ids, "<u4")
-                    if len(wide) and wide.max() >= pad:
-                        raise ValueError(f"an id of {wide.max()} doesn't fit in two bytes below the padding {pad}")
-                    narrow = wide.astype("<u2").tobytes()
-                    for p, at in enumerate(range(0, max(1, len(narrow)), 2 * length)):
-                        own = narrow[at : at + 2 * length]
-                        of.append(row)
-                        piece.append(p)
-                        count.append(len(own) // 2)
-                        crc.append(zlib.crc32(own))
-                        packed.append(squeeze(own + filler * (length - len(own) // 2)))
+                    own = [ids] if len(ids) <= width else [ids[at : at + width] for at in range(0, len(ids), width)]
+                    of += [row] * len(own)
+                    piece += range(len(own))
+                    cuts += own
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(key).take(pa.array(of, pa.int64())), pa.array(piece, pa.int32()), pa.array(count, pa.int32()), pa.array(crc, pa.int64()), pa.array(packed, pa.binary()), pa.array([task] * len(of), pa.int32()), pa.array(range(made, made + len(of)), pa.int64())],
-                    [key, "piece", "n_tokens", "ids_crc32", "packed", "task", "place"],
-                )
+                    [
+                        part.column(key).take(pa.array(of, pa.int64())), pa.array(piece, pa.int32()), pa.array([len(x) >> 1 for x in cuts], pa.int32()),
+                        pa.array(map(zlib.crc32, cuts), pa.int64()), pa.array(cuts, pa.binary()), pa.array([width] * len(of), pa.int32()), pa.array([task] * len(of), pa.int32()), pa.array(range(made, made + len(of)), pa.int64()),
+                    ],
+                    [key, "piece", "n_tokens", "ids_crc32", "ids", "stride", "task", "place"],
+                )
                 made += len(of)
 
-    return rows.mapInArrow(cut, f"`{key}` {kind}, piece int, n_tokens int, ids_crc32 long, packed binary, task int, place long")
+    return rows.mapInArrow(cut, f"`{key}` {kind}, piece int, n_tokens int, ids_crc32 long, ids binary, stride int, task int, place long")
 
 
-def write_training_order(sequences: DataFrame, path: str, seed: int, per_shard: int = 8192, key: str = "doc_id") -> DataFrame:
+def shard_size(sequences: int) -> int:
+    """Slots of a shard: LEAST_SHARD, or the power of two that leaves at most MOST_SHARDS shards."""
+    return max(LEAST_SHARD, 1 << (-(-sequences // MOST_SHARDS) - 1).bit_length()) if sequences else LEAST_SHARD
+
+
+def write_training_order(sequences: DataFrame, path: str, seed: int, per_shard: int | None = None, key: str = "doc_id", pad: int = 0xFFFF) -> DataFrame:
     """Writes records (slot, key, piece, n_tokens, ids_crc32, ids) under `path`, one folder and file per shard.
 
     The sequences are written once as they come; a sequence's dense number is the count of those from
     earlier tasks plus its place in its own. Shard s has the slots s * per_shard to (s + 1) * per_shard - 1
-    in order, each with the same number of bytes. Returns the written table without the ids.
+    in order, each filled with `pad` to the same number of bytes. Without `per_shard` the number of sequences sets
+    it (see `shard_size`). Returns the written table without the ids.
     """
     made = written(sequences)
     counts = made.groupBy("task").agg(F.count("*").alias("_n"))
     earlier = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("task", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))  # a row per input split
+    starts = counts.select("task", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))  # 12 bytes per input split
     size = made.count()
+    per_shard = per_shard or shard_size(size)
 
     @F.pandas_udf("long")
     def slot_of(number: pd.Series) -> pd.Series:
@@ -117,26 +121,17 @@ def write_training_order(sequences: DataFrame, path: str, seed: int, per_shard:
     shards = max(1, -(-size // per_shard))
     ordered = slots.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "slot")
 
-    def unpack(batches):
-        import pyarrow as pa
-        import zstandard
-
-        widen = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            place = batch.schema.get_field_index("packed")
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                ids = pa.array([widen(x) for x in part.column(place).to_pylist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(part.num_columns) if i != place), ids], [*(n for n in part.schema.names if n != "packed"), "ids"])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema if f.name != "packed")
-    ordered.mapInArrow(unpack, f"{kinds}, ids binary").write.option("compression", "zstd").partitionBy("shard").parquet(path)
-    return sequences.sparkSession.read.schema(f"{kinds}, ids binary").parquet(path).drop("ids")
+    filled = ordered.withColumn("ids", F.rpad("ids", F.col("stride"), F.lit(pad.to_bytes(2, "little")))).drop("stride")
+    filled.write.option("compression", "zstd").partitionBy("shard").parquet(path)
+    return sequences.sparkSession.read.schema(filled.schema).parquet(path).drop("ids")
 
 
-def read_from(spark: SparkSession, path: str, slot: int, per_shard: int = 8192) -> DataFrame:
+def read_from(spark: SparkSession, path: str, slot: int, per_shard: int | None = None) -> DataFrame:
     """The records from `slot` on, in training order; earlier shards aren't opened."""
-    return spark.read.parquet(path).where((F.col("shard") >= slot // per_shard) & (F.col("slot") >= slot)).orderBy("slot")
+    records = spark.read.parquet(path)
+    if per_shard is None:  # all shards but the last have the size of the first
+        per_shard = (records.where("shard = 0").agg(F.max("slot")).first()[0] or 0) + 1
+    return records.where((F.col("shard") >= slot // per_shard) & (F.col("slot") >= slot)).orderBy("slot")
 
 
 def materialise(docs: DataFrame, tokenizer_path: str, seed: int = 20240229, path: str | None = None, key: str = "doc_id") -> DataFrame:
