@@ -6,7 +6,7 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -16,10 +16,11 @@ from fjelldoc.functions.trigrams import set_similarity, trigram_set
 from fjelldoc.operators.scoring import scan_items, top_k
 from fjelldoc.operators.wordsim import BestTexts
 
-# Searchable states, default result size, trigram threshold.
+# Searchable states, default result size, trigram threshold, text configuration.
 SEARCHABLE = ("ready", "partial")
 DEFAULT_LIMIT = 10
 FUZZY_THRESHOLD = 0.1
+DEFAULT_CONFIG = "norwegian"
 
 
 def searchable(docs: DataFrame) -> DataFrame:
@@ -34,39 +35,37 @@ def usable_queries(queries: DataFrame) -> DataFrame:
 # -- full text ---------------------------------------------------------------
 
 
-def build_postings(docs: DataFrame, config: str = "simple", terms: DataFrame | None = None) -> DataFrame:
-    """One row per (id, lexeme, weight, pos); no shuffle, each document is expanded in place.
+def build_postings(docs: DataFrame, config: str = DEFAULT_CONFIG, terms: DataFrame | None = None) -> DataFrame:
+    """One row per (id, lexeme, weight, pos); one scan, no shuffle: each document is expanded in place.
 
-    Title positions carry weight A; content positions carry weight B and continue after the title.
+    Title positions carry weight A; content positions carry weight B and continue after the title. Without a
+    title column (chunks) all positions carry weight D.
     The outer form of explode keeps the optimizer from adding a size filter that would tokenise twice.
     With `terms` only words that can become one of those lexemes are kept: stemming never changes
     the first three letters, so a semi-join on them comes before the stemmer.
     """
-    base = docs.select("id", "title", "content", lx.last_title_position(F.col("title"), config).alias("last"))
 
-    def part(text: str, weight: str, offset) -> DataFrame:
-        tokens = base.select("id", "last", F.posexplode_outer(lx.words(F.col(text))).alias("at", "lexeme")).filter("lexeme IS NOT NULL")
-        return tokens.select("id", "lexeme", F.lit(weight).alias("weight"), (F.col("at") + 1 + offset).alias("pos"))
+    def part(text: str, weight: str, offset) -> Column:
+        return F.transform(lx.words(F.coalesce(F.col(text), F.lit(""))), lambda w, i: F.struct(w.alias("lexeme"), F.lit(weight).alias("weight"), (i + 1 + offset).alias("pos")))
 
-    both = part("title", "A", F.lit(0)).unionByName(part("content", "B", F.col("last")))
+    if "title" in docs.columns:
+        found = F.concat(part("title", "A", F.lit(0)), part("content", "B", lx.last_title_position(F.col("title"), config)))
+    else:
+        found = part("content", "D", F.lit(0))
+    both = docs.select("id", F.explode_outer(found).alias("o")).select("id", "o.*").filter("lexeme IS NOT NULL")
     if terms is not None:
         heads = terms.select(F.left("lexeme", F.lit(3)).alias("_head")).distinct()
         both = both.withColumn("_head", F.left("lexeme", F.lit(3))).join(heads, "_head", "left_semi").drop("_head")
     return lx.normalise_lexemes(both, config)
 
 
-def write_postings(postings: DataFrame, table: str, buckets: int = 512) -> None:
-    """Store postings bucketed by lexeme, so that repeated searches read only matching buckets."""
-    postings.write.bucketBy(buckets, "lexeme").sortBy("lexeme", "id").mode("overwrite").saveAsTable(table)
-
-
-def query_terms(queries: DataFrame, config: str = "simple") -> DataFrame:
+def query_terms(queries: DataFrame, config: str = DEFAULT_CONFIG) -> DataFrame:
     tokens = usable_queries(queries).select("query_id", F.explode(lx.words(F.col("query"))).alias("lexeme"))
     terms = lx.normalise_lexemes(tokens, config).groupBy("query_id").agg(F.collect_set("lexeme").alias("terms"))
     return terms.select("query_id", "terms", F.size("terms").alias("n_terms"), F.explode("terms").alias("lexeme"))
 
 
-def full_text_scores(postings: DataFrame, queries: DataFrame, config: str = "simple") -> DataFrame:
+def full_text_scores(postings: DataFrame, queries: DataFrame, config: str = DEFAULT_CONFIG) -> DataFrame:
     """(query_id, id, score) of every document holding all words of the query.
 
     A document meets a query only under the query's longest word; the common words of a long query
@@ -86,13 +85,18 @@ def full_text_scores(postings: DataFrame, queries: DataFrame, config: str = "sim
     matched = found.join(asked, "query_id").select(
         "query_id", "id", "n_terms", F.filter("occ", lambda o: F.array_contains("terms", o["lexeme"])).alias("occ")
     )
+    return ranked(matched)
+
+
+def ranked(matched: DataFrame) -> DataFrame:
+    """(query_id, id, score) of the rows (query_id, id, n_terms, occ) that hold all words."""
     matched = matched.filter(F.size(F.array_distinct(F.transform("occ", lambda o: o["lexeme"]))) == F.col("n_terms"))
     score = F.when(F.col("n_terms") == 1, lx.rank_single(F.col("occ"))).otherwise(lx.rank_pairs(F.col("occ")))
     return matched.select("query_id", "id", F.round(score, 6).alias("score"))
 
 
 def search_full_text(
-    docs: DataFrame, queries: DataFrame, limit: int = DEFAULT_LIMIT, config: str = "simple"
+    docs: DataFrame, queries: DataFrame, limit: int = DEFAULT_LIMIT, config: str = DEFAULT_CONFIG
 ) -> DataFrame:
     """Rank on ids first; text is read back only for the rows that are returned."""
     found = searchable(docs)

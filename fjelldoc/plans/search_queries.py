@@ -11,6 +11,7 @@ from fjelldoc.functions.text import snippet
 from fjelldoc.functions.trigrams import trigram_set
 from fjelldoc.operators import search
 from fjelldoc.operators.embed import embed_texts, hashing_embedder
+from fjelldoc.operators.postings import PostingsStore
 from fjelldoc.operators.scoring import top_k
 from fjelldoc.plans.registry import query
 from fjelldoc.sources.tables import Tables, with_tables
@@ -155,7 +156,7 @@ POSTINGS = f"""
   SELECT lexeme, weight, count(*) AS occurrences, count(DISTINCT id) AS documents, sum(pos)::BIGINT AS position_sum
   FROM postings GROUP BY lexeme, weight""")
 def search_vector_postings(t: Tables):
-    p = search.build_postings(t.docs)
+    p = search.build_postings(t.docs, "simple")
     return p.groupBy("lexeme", "weight").agg(
         F.count("*").alias("occurrences"), F.count_distinct("id").alias("documents"), F.sum("pos").alias("position_sum")
     )
@@ -182,15 +183,15 @@ FULLTEXT = POSTINGS.replace("FROM docs", "FROM docs WHERE indexing_status IN ('r
 
 @query(with_tables("docs", "queries").rstrip() + "," + FULLTEXT + " SELECT query_id, id, score FROM ranked")
 def fulltext_rank(t: Tables):
-    postings = search.build_postings(search.searchable(t.docs))
-    return search.full_text_scores(postings, t.queries)
+    postings = search.build_postings(search.searchable(t.docs), "simple")
+    return search.full_text_scores(postings, t.queries, "simple")
 
 
 @query(with_tables("docs", "queries").rstrip() + "," + FULLTEXT + """
   SELECT query_id, h.id, score, title, CASE WHEN length(content) > 300 THEN left(content, 300) || '…' ELSE content END AS content
   FROM ft_hits h JOIN docs USING (id)""")
 def fulltext_search(t: Tables):
-    return search.search_full_text(t.docs, t.queries).select("query_id", "id", "score", "title", "content")
+    return search.search_full_text(t.docs, t.queries, config="simple").select("query_id", "id", "score", "title", "content")
 
 
 _ONE_WORD = FULLTEXT.replace("FROM queries)", "FROM (SELECT query_id, regexp_extract(query, '^[^ ]+') AS query FROM queries))")
@@ -199,7 +200,7 @@ _ONE_WORD = FULLTEXT.replace("FROM queries)", "FROM (SELECT query_id, regexp_ext
 @query(with_tables("docs", "queries").rstrip() + "," + _ONE_WORD + " SELECT query_id, id, score FROM ft_hits")
 def fulltext_single_word(t: Tables):
     one = t.queries.select("query_id", F.split_part("query", F.lit(" "), F.lit(1)).alias("query"))
-    return search.search_full_text(t.docs, one).select("query_id", "id", "score")
+    return search.search_full_text(t.docs, one, config="simple").select("query_id", "id", "score")
 
 
 _STOPS = ", ".join(f"'{w}'" for w in lx.STOP_WORDS)
@@ -227,7 +228,7 @@ def norwegian_stems(t: Tables):
     return stems.select("word", "stem", F.col("word").isin(lx.STOP_WORDS).alias("is_stop"))
 
 
-@query(with_tables("docs", "queries").rstrip() + f""",
+NORWEGIAN = f""",
   tw AS (SELECT id, {WORDS_SQL.format('title')} AS t, {WORDS_SQL.format('content')} AS c FROM docs WHERE indexing_status IN ('ready', 'partial')),
   raw AS (SELECT id, unnest(t) AS w, generate_subscripts(t, 1) AS pos, 'A' AS weight FROM tw
           UNION ALL SELECT id, unnest(c), generate_subscripts(c, 1), 'B' FROM tw),
@@ -238,9 +239,55 @@ def norwegian_stems(t: Tables):
   postings AS (SELECT kept.id, lexeme, CASE WHEN weight = 'B' THEN pos + coalesce(m, 0) ELSE pos END AS pos, weight
                FROM kept LEFT JOIN last_a USING (id)),
   terms AS (SELECT DISTINCT query_id, stem AS lexeme FROM qraw JOIN stems USING (w) WHERE w NOT IN ({_STOPS})),
-""" + FULLTEXT[FULLTEXT.index("  nt AS"):] + " SELECT query_id, id, score FROM ft_hits")
+""" + FULLTEXT[FULLTEXT.index("  nt AS"):]
+
+
+@query(with_tables("docs", "queries").rstrip() + NORWEGIAN + " SELECT query_id, id, score FROM ft_hits")
 def fulltext_norwegian(t: Tables):
-    return search.search_full_text(t.docs, t.queries, config="norwegian").select("query_id", "id", "score")
+    return search.search_full_text(t.docs, t.queries).select("query_id", "id", "score")
+
+
+#: Two to four words of each search text, so that many documents hold them all.
+FEW_WORDS = "SELECT query_id, array_to_string(string_split(query, ' ')[2:3 + query_id % 3], ' ') AS query FROM queries"
+_STORED = NORWEGIAN.replace("FROM queries)", f"FROM ({FEW_WORDS}))").replace("IN ('ready', 'partial'))", "IN ('ready', 'partial') AND id % 19 <> 0)")
+
+
+@query(with_tables("docs", "queries").rstrip() + _STORED + """
+  SELECT query_id, h.id, score, title, CASE WHEN length(content) > 300 THEN left(content, 300) || '…' ELSE content END AS content
+  FROM ft_hits h JOIN docs USING (id)""")
+def stored_fulltext(t: Tables):
+    """Short searches in stored postings: half of the documents indexed first, the rest added, some replaced and some removed."""
+    docs = search.searchable(t.docs)
+    store = PostingsStore.new(t.spark)
+    stale = F.when(F.col("id") % 7 == 0, F.concat(F.lit("outdated "), "content")).otherwise(F.col("content"))
+    store.add(docs.where("id % 2 = 0").withColumn("content", stale))
+    store.add(docs.where("id % 2 = 1 OR id % 7 = 0"))
+    store.merge()
+    store.remove(docs.where("id % 19 = 0").select("id"))
+    few = t.queries.select("query_id", F.array_join(F.slice(F.split("query", " "), F.lit(2), F.col("query_id") % 3 + 2), " ").alias("query"))
+    return store.search(few, docs).select("query_id", "id", "score", "title", "content")
+
+
+@query(with_tables("docs") + r"""
+  SELECT query_id, id, round(occurrences_score, 6) AS score FROM (
+    SELECT query_id, id, (0.1e0 + sum(0.1e0 / (n * n)) - 0.1e0) / 1.64493406685e0 AS occurrences_score
+    FROM (SELECT q.query_id, c.id, row_number() OVER (PARTITION BY q.query_id, c.id ORDER BY c.pos) AS n
+          FROM (SELECT id * 1000 + part AS id, unnest(w) AS lexeme, generate_subscripts(w, 1) AS pos
+                FROM (SELECT id, part, regexp_extract_all(lower(substr(content, part * 900 + 1, 1000)), '[\p{L}\p{N}_]+') AS w
+                      FROM (SELECT id, content, unnest(range(0, greatest(1, (length(content) + 899) // 900))) AS part FROM docs))) c
+          JOIN (SELECT item_id AS query_id, lower(regexp_extract(text, '[\p{L}\p{N}_]+')) AS lexeme FROM benchmark) q USING (lexeme))
+    GROUP BY query_id, id)
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(occurrences_score, 6) DESC, id) <= 10""")
+def stored_chunk_search(t: Tables):
+    """Postings of fixed-size chunks, unweighted, searched for the first word of each benchmark text."""
+    part = F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.length("content") / 900), F.lit(1)) - 1))
+    chunks = t.docs.select("id", "content", part.alias("part")).select(
+        (F.col("id") * 1000 + F.col("part")).alias("id"), F.expr("substring(content, CAST(part * 900 + 1 AS INT), 1000)").alias("content")
+    )
+    store = PostingsStore.new(t.spark, "simple")
+    store.add(chunks)
+    asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.regexp_extract("text", lx.WORD, 0).alias("query"))
+    return store.hits(asked).select("query_id", "id", "score")
 
 
 # -- trigrams ----------------------------------------------------------------
@@ -316,7 +363,7 @@ def _title_hits(t: Tables):
 def _merged_methods(t: Tables):
     docs, asked = text_vectors(t, t.queries)
     full = top_k(
-        search.full_text_scores(search.build_postings(search.searchable(t.docs)), t.queries), "query_id", "score", "id", 10
+        search.full_text_scores(search.build_postings(search.searchable(t.docs), "simple"), t.queries, "simple"), "query_id", "score", "id", 10
     )
     return search.hybrid_merge(
         {"fulltext": full, "semantic": search.search_semantic_documents(docs, asked), "fuzzy": _title_hits(t)}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fjelldoc.functions import vectors
 from fjelldoc.operators import ann, embed, search, wordsim
+from fjelldoc.operators.postings import PostingsStore
 from fjelldoc.operators.wordsim import ordered_trigrams, word_similarity_batch
 from fjelldoc.plans import search_queries
 from fjelldoc.plans.search_queries import doc_vectors, label_vectors
@@ -173,12 +174,34 @@ def test_document_vectors_have_all_dimensions(tables):
     assert doc_vectors(tables).filter(F.size("embedding") != 64).count() == 0
 
 
-def test_postings_table_round_trip(spark, tables):
-    search.write_postings(search.build_postings(search.searchable(tables.docs)), "postings_test", buckets=4)
-    stored = search.full_text_scores(spark.table("postings_test"), tables.queries)
-    fresh = search.full_text_scores(search.build_postings(search.searchable(tables.docs)), tables.queries)
-    assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, fresh.collect()))
-    spark.sql("DROP TABLE postings_test")
+def test_stored_postings_follow_their_documents(spark, tables):
+    """Added, replaced and removed documents, before and after a merge, give what fresh postings give."""
+    docs = search.searchable(tables.docs)
+    few = tables.queries.select("query_id", F.array_join(F.slice(F.split("query", " "), 2, 2), " ").alias("query"))
+    key = lambda df: sorted((r.query_id, r.id, r.score) for r in df.collect())
+    fresh = lambda d: key(search.full_text_scores(search.build_postings(d), few))
+    store = PostingsStore.new(spark, buckets=4)
+    store.add(docs.where("id < 150").withColumn("content", F.lit("old text of nothing")))
+    store.add(docs.where("id < 100"))
+    store.add(docs.where("id >= 90"))
+    store.add(docs.where("id >= 100 AND id < 150"))
+    assert key(store.scores(few)) == fresh(docs)
+    store.remove(docs.where("id % 3 = 0").select("id"))
+    left = docs.where("id % 3 <> 0")
+    assert key(store.scores(few)) == fresh(left)
+    store.merge()
+    assert len(store.segments()) == 1 and key(store.scores(few)) == fresh(left)
+    store.add(docs.where("id % 3 = 0"))
+    assert key(PostingsStore(spark, store.root).scores(few)) == fresh(docs)
+    assert not store.scores(few.limit(0)).collect()
+
+
+def test_a_search_of_stored_postings_reads_few_buckets(spark, tables):
+    store = PostingsStore.new(spark, "simple", buckets=16)
+    store.add(search.searchable(tables.docs))
+    one = spark.createDataFrame([(1, "the")], "query_id bigint, query string")
+    plan = store.scores(one)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "bucket" in plan and "dynamicpruning" in plan and "documents.parquet" not in plan
 
 
 def test_pair_rank_walks_near_pairs_and_sums_far_ones(spark):
