@@ -72,7 +72,8 @@ DEDUP = """
   calls AS (SELECT * FROM events_in WHERE type = 'assistant.usage'
             QUALIFY row_number() OVER (PARTITION BY chat_id, turn_id, coalesce(api_call_id, 'seq' || seq) ORDER BY seq) = 1),
   turns AS (SELECT chat_id, turn_id, coalesce(sum(input_tokens), 0) AS input_tokens, coalesce(sum(output_tokens), 0) AS output_tokens,
-                   coalesce(sum(cost), 0) AS premium_requests, coalesce(arg_max(model, seq) FILTER (model IS NOT NULL), '') AS model,
+                   coalesce(sum(cost), 0) AS premium_requests, coalesce(sum(cache_read_tokens), 0) AS cache_read_tokens,
+                   coalesce(sum(cache_write_tokens), 0) AS cache_write_tokens, coalesce(sum(duration), 0) AS duration_ms, coalesce(sum(total_nano_aiu), 0) AS total_nano_aiu, coalesce(arg_max(model, seq) FILTER (model IS NOT NULL), '') AS model,
                    arg_max(cost, seq) FILTER (cost IS NOT NULL) AS model_multiplier
             FROM calls GROUP BY chat_id, turn_id)"""
 
@@ -84,19 +85,24 @@ def distinct_usage_events(t: Tables):
 
 @query(with_tables("events_in").rstrip() + "," + DEDUP + " SELECT * FROM turns")
 def turn_usage(t: Tables):
-    cols = ["chat_id", "turn_id", "input_tokens", "output_tokens", "premium_requests", "model", "model_multiplier"]
+    cols = ["chat_id", "turn_id", "input_tokens", "output_tokens", "premium_requests", "cache_read_tokens", "cache_write_tokens", "duration_ms", "total_nano_aiu", "model", "model_multiplier"]
     return usage.turn_usage(t.events_in).select(*cols)
 
 
-@query(with_tables("events_in").rstrip() + "," + DEDUP + """,
+SESSION_SUMS = {"input_tokens": "total_input_tokens", "output_tokens": "total_output_tokens", "cache_read_tokens": "total_cache_read_tokens", "cache_write_tokens": "total_cache_write_tokens", "duration_ms": "total_duration_ms", "total_nano_aiu": "total_nano_aiu"}
+SESSION_COLUMNS = ["total_premium_requests", *SESSION_SUMS.values()]
+SESSION_TOTALS = with_tables("events_in").rstrip() + "," + DEDUP + f""",
   known AS (SELECT chat_id, max(seq) AS total_seq, arg_max(total_premium_requests, seq) AS known_total FROM events_in
             WHERE total_premium_requests IS NOT NULL GROUP BY chat_id),
   spans AS (SELECT chat_id, turn_id, min(seq) AS first_seq FROM events_in GROUP BY chat_id, turn_id)
   SELECT s.chat_id, coalesce(max(known_total), 0) + coalesce(sum(premium_requests) FILTER (total_seq IS NULL OR first_seq > total_seq), 0) AS total_premium_requests,
-         coalesce(sum(input_tokens), 0) AS total_input_tokens, coalesce(sum(output_tokens), 0) AS total_output_tokens
-  FROM spans s LEFT JOIN turns USING (chat_id, turn_id) LEFT JOIN known k ON k.chat_id = s.chat_id GROUP BY s.chat_id""")
+         {", ".join(f"coalesce(sum({a}), 0) AS {b}" for a, b in SESSION_SUMS.items())}
+  FROM spans s LEFT JOIN turns USING (chat_id, turn_id) LEFT JOIN known k ON k.chat_id = s.chat_id GROUP BY s.chat_id"""
+
+
+@query(SESSION_TOTALS)
 def session_usage(t: Tables):
-    return usage.session_usage(t.events_in).select("chat_id", "total_premium_requests", "total_input_tokens", "total_output_tokens")
+    return usage.session_usage(t.events_in).select("chat_id", *SESSION_COLUMNS)
 
 
 @query(with_tables("events_in") + """
@@ -340,3 +346,14 @@ def pending_shapes(t: Tables):
     """Shapes waiting per session in the order they were drawn, one row each."""
     drawn = t.layers.filter(F.col("geojson").isNotNull())
     return numbered(drawn, ["chat_id"], F.floor(F.col("key") / 65536), [F.col("key")], "place").select("chat_id", "layer_id", "name", "place")
+
+
+@query("""SELECT conv_id * 100 + turn AS message_id, 'hm ' AS thinking, CASE WHEN role = 'system' THEN lower(text) ELSE text END AS content FROM conversations""")
+def sse_pieces(t: Tables):
+    """The same event lines, sent as pieces of 7 to 29 characters that are cut anywhere, the last line unfinished."""
+    lines = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+    sent = sse_lines(t).groupBy("message_id").agg(F.concat(F.array_join(F.transform(lines, lambda x: x["line"]), "\n"), F.lit("\ndata: {unfinished")).alias("text"))
+    size = (F.col("message_id") % 23 + 7).cast("int")
+    cut = F.transform(F.sequence(F.lit(1), F.length("text"), size), lambda at: F.substring(F.col("text"), at, size))
+    pieces = sent.select("message_id", F.posexplode(cut).alias("piece_no", "text"))
+    return chats.assemble_messages(chats.parse_sse(chats.lines_of_pieces(pieces)))

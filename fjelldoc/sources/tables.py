@@ -152,6 +152,10 @@ class Tables:
             F.when(usage & (k != 7), F.round(F.col("value") * 100)).alias("input_tokens"),
             F.when(usage, F.round(F.col("value") * 10)).alias("output_tokens"),
             F.when(usage & (F.col("event_type") == "view"), k.cast("double")).alias("cost"),
+            F.when(usage & (k % 4 == 0), F.round(F.col("value") * 3)).alias("cache_read_tokens"),
+            F.when(usage & (k % 4 == 1), F.round(F.col("value") * 2)).alias("cache_write_tokens"),
+            F.when(usage, F.round(F.col("value") * 50)).alias("duration"),
+            F.when(usage & (k % 3 == 0), k * 1000.0).alias("total_nano_aiu"),
             F.when(F.col("event_type") == "purchase", F.round(F.col("value"))).alias("total_premium_requests"),
             F.when(F.col("event_type") == "signup", F.round(F.col("value") * 1000)).alias("current_tokens"),
             F.when((F.col("event_type") == "signup") & (k > 50), F.lit(128000.0)).alias("token_limit"),
@@ -259,6 +263,8 @@ DERIVED_SQL: dict[str, str] = {
                CASE WHEN u AND k <> 7 THEN round(value * 100) END AS input_tokens,
                CASE WHEN u THEN round(value * 10) END AS output_tokens,
                CASE WHEN event_type = 'view' THEN k::DOUBLE END AS cost,
+               CASE WHEN u AND k % 4 = 0 THEN round(value * 3) END AS cache_read_tokens, CASE WHEN u AND k % 4 = 1 THEN round(value * 2) END AS cache_write_tokens,
+               CASE WHEN u THEN round(value * 50) END AS duration, CASE WHEN u AND k % 3 = 0 THEN k * 1000e0 END AS total_nano_aiu,
                CASE WHEN event_type = 'purchase' THEN round(value) END AS total_premium_requests,
                CASE WHEN event_type = 'signup' THEN round(value * 1000) END AS current_tokens,
                CASE WHEN event_type = 'signup' AND k > 50 THEN 128000e0 END AS token_limit
