@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fjelldoc.operators import catalogue, embed, ingest, keyed
 from fjelldoc.plans.chat_queries import incoming_layers, INCOMING, STORED, stored_layers
 from fjelldoc.plans.registry import query
+from fjelldoc.session import checkpoint_root
 from fjelldoc.sources import files
 from fjelldoc.sources.tables import Tables, with_tables
 
@@ -333,3 +334,34 @@ def ordered_overview(t: Tables):
 @query()
 def demo_peek(t: Tables):
     return catalogue.peek(t.documents)
+
+
+@query(with_tables("blobs").rstrip() + """,
+  now_listed AS (SELECT name, last_modified, length(file_hash) + length(name) % 3 AS length FROM blobs WHERE length(name) % 11 <> 0),
+  before AS (SELECT name, CASE WHEN length(name) % 5 = 0 THEN last_modified + INTERVAL 1 HOUR ELSE last_modified END AS last_modified, length(file_hash) + name_tail % 3 AS length
+             FROM (SELECT *, CASE WHEN name LIKE '%7.pdf' THEN length(name) + 1 ELSE length(name) END AS name_tail FROM blobs WHERE name NOT LIKE 'web/%'))
+  SELECT name, CASE WHEN b.name IS NULL THEN 'new' WHEN n.name IS NULL THEN 'removed'
+                    WHEN n.last_modified IS NOT DISTINCT FROM b.last_modified AND n.length IS NOT DISTINCT FROM b.length THEN 'same' ELSE 'changed' END AS change
+  FROM now_listed n FULL JOIN before b USING (name)""")
+def listing_changes(t: Tables):
+    """A listing of the store against the one remembered: times that went back, other lengths, new and removed files."""
+    n = F.length("name")
+    size = lambda k: (F.length("file_hash") + k % 3).cast("bigint").alias("length")
+    found = t.blobs.where(n % 11 != 0).select("name", "last_modified", size(n))
+    tail = F.when(F.col("name").endswith("7.pdf"), n + 1).otherwise(n)
+    time = F.when(n % 5 == 0, F.col("last_modified") + F.expr("INTERVAL 1 HOUR")).otherwise(F.col("last_modified"))
+    state = t.blobs.where(~F.col("name").startswith("web/")).select("name", time.alias("last_modified"), size(tail))
+    return files.changes(found, state).select("name", "change")
+
+
+@query("""
+  SELECT 'first' AS writer, count(*) AS rows, sum(doc_id)::BIGINT AS ids FROM documents WHERE doc_id % 2 = 0
+  UNION ALL SELECT 'second', count(*), sum(doc_id)::BIGINT FROM documents WHERE doc_id % 2 = 1""")
+def versioned_writes(t: Tables):
+    """Two writers that began from the same state: each has a version of its own, and neither loses its rows."""
+    from uuid import uuid4
+
+    table = f"{checkpoint_root(t.spark)}/versions-{uuid4().hex}"
+    own = {name: files.write_version(t.documents.where(F.col("doc_id") % 2 == odd), table) for name, odd in (("first", 0), ("second", 1))}
+    parts = [files.read_version(t.spark, table, v).agg(F.lit(name).alias("writer"), F.count("*").alias("rows"), F.sum("doc_id").alias("ids")) for name, v in own.items()]
+    return parts[0].unionByName(parts[1]).select("writer", "rows", "ids")

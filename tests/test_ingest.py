@@ -113,6 +113,56 @@ def test_versions(spark, tmp_path):
     assert files.read_version(spark, table).count() == 5 and files.read_version(spark, table, 1).count() == 3
 
 
+def test_two_writers_never_share_a_version(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    table = str(tmp_path / "t")
+    with ThreadPoolExecutor(4) as pool:
+        numbers = list(pool.map(lambda n: files.write_version(spark.range(n), table), range(1, 5)))
+    assert sorted(numbers) == [1, 2, 3, 4]
+    assert sorted(files.read_version(spark, table, v).count() for v in numbers) == [1, 2, 3, 4]
+    with pytest.raises(FileExistsError):
+        files.write_version(spark.range(9), table, 2)
+    assert 9 not in {files.read_version(spark, table, v).count() for v in numbers}
+
+
+def test_only_changed_files_are_read(spark, tmp_path, monkeypatch):
+    import os
+
+    from fjelldoc.streaming.files import index_changes
+
+    folder, state, seen = tmp_path / "in", str(tmp_path / "state"), []
+    folder.mkdir()
+    for name in ("a.pdf", "b.PDF", "c.pdf", "d.txt"):
+        (folder / name).write_bytes(name.encode())
+    read = []
+    load = files.read_files
+    monkeypatch.setattr(files, "read_files", lambda spark, names, out: (read.append(names.count()), load(spark, names, out))[1])
+
+    def step():
+        counts = index_changes(spark, f"file://{folder}", state, lambda rows, gone: seen.append(({r.name[-5:]: r.change for r in rows.collect()}, [r.name[-5:] for r in gone.collect()])))
+        return counts
+
+    assert step() == {"new": 3} and seen[-1][0] == {"a.pdf": "new", "b.PDF": "new", "c.pdf": "new"}
+    assert step() == {"same": 3} and seen[-1] == ({}, [])
+    (folder / "a.pdf").write_bytes(b"other")  # as long as before
+    os.utime(folder / "a.pdf", (1_000_000_000,) * 2)  # and older
+    os.utime(folder / "b.PDF", (1_100_000_000,) * 2)  # only its time
+    (folder / "c.pdf").unlink()
+    (folder / "old.pdf").write_bytes(b"old")
+    os.utime(folder / "old.pdf", (900_000_000,) * 2)
+    assert step() == {"changed": 1, "touched": 1, "new": 1, "removed": 1}
+    assert seen[-1] == ({"a.pdf": "changed", "b.PDF": "touched", "d.pdf": "new"}, ["c.pdf"]) and read == [3, 0, 3]
+
+    def fails(rows, gone):
+        raise RuntimeError("down")
+
+    (folder / "old.pdf").unlink()
+    with pytest.raises(RuntimeError):
+        index_changes(spark, f"file://{folder}", state, fails)
+    assert step() == {"same": 2, "removed": 1}
+
+
 def test_html_blocks(spark):
     html = "<html><script>x</p></script><h1>Title &amp; more</h1><p><b>Bold</b> text</p><ul><li>one</li><li>two</li></ul></html>"
     got = files.blocks_from_html(spark.createDataFrame([("d", html)], "doc_id string, html string")).orderBy("block_ix").collect()
