@@ -7,11 +7,13 @@ the item's own total, so a score is the share of the item's BM25 mass that a pas
 threshold fits all items. What is retrieved is verified: the passage must hold the question's and the
 answer's words in order, each in a window little longer than it, or nearly all words of both.
 
-The index is broadcast in parts of at most `PART_WORDS` item words; each part is one pass over the documents.
+The index is broadcast in parts of at most about `PART_WORDS` item words; each part is one pass over the documents, after
+the one before it, so a worker holds one index (some 50 MB of bounds) whatever the number of items.
 
 Defined cases: null and empty texts have no passages, null and empty items are never found; items
 with equal texts are all reported; rows that repeat are judged one by one; a text of any length is read
-whole, in overlapping passages of twice the longest item.
+whole, in overlapping passages of twice the longest item; items of fewer than `LEAST` words say too little to be a leak
+and are left out unless asked for; no column name of the documents can clash.
 """
 
 from __future__ import annotations
@@ -19,15 +21,16 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain, repeat
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fjelldoc.llm.common import bounded_batches
+from fjelldoc.llm.common import Workspace, bounded_batches
 
-PART_WORDS = 1_000_000
+PART_WORDS = 100_000
 K1, B = 1.2, 0.75
 #: Share of an item's BM25 mass that retrieves it, and shares of its question's and answer's words that confirm it.
 RETRIEVE, QUESTION, ANSWER = 0.6, 0.6, 0.6
@@ -35,8 +38,10 @@ RETRIEVE, QUESTION, ANSWER = 0.6, 0.6, 0.6
 NEARLY_ALL = 0.8
 #: Words of a sequence; a part of fewer is measured together with the other one.
 SEQUENCE = 5
-#: A part of fewer words may miss one of them. Longer ones are matched in pieces of PIECE words.
-SHORT, PIECE = 10, 512
+#: A part of at least so many words may miss more than one of them.
+SHORT = 10
+#: Words of an item that can be leaked.
+LEAST = 5
 BLOCK = 4
 LEAK = "array<struct<item_id:bigint,score:double,question:double,answer:double,first_word:bigint>>"
 
@@ -64,30 +69,26 @@ def in_order(wanted: list[str], passage: list[str]) -> int:
     """How many words of `wanted` a window of the passage has in the same order, at most.
 
     A window may be an eighth longer than the words on either side. The longest common subsequence is
-    counted with one bit per wanted word; pieces of a long part each have a window of their own.
+    counted with one bit per wanted word, however many there are.
     """
-    total = 0
-    for start in range(0, len(wanted), PIECE):
-        piece = wanted[start : start + PIECE]
-        n, slack = len(piece), max(2, len(piece) // 8)
-        masks: dict[str, int] = {}
-        for i, w in enumerate(piece):
-            masks[w] = masks.get(w, 0) | 1 << i
-        held = [(j, masks[w]) for j, w in enumerate(passage) if w in masks]
-        places, full, best = [j for j, _ in held], (1 << n) - 1, 0
-        for first in range(-slack, len(passage), slack):
-            lo, hi = bisect_left(places, first), bisect_left(places, first + n + 2 * slack)
-            if hi - lo <= best:
-                continue
-            left = full
-            for _, mask in held[lo:hi]:
-                both = left & mask
-                left = ((left + both) | (left - both)) & full
-            best = max(best, n - left.bit_count())
-            if best == n:
-                break
-        total += best
-    return total
+    n, slack = len(wanted), max(2, len(wanted) // 8)
+    masks: dict[str, int] = {}
+    for i, w in enumerate(wanted):
+        masks[w] = masks.get(w, 0) | 1 << i
+    held = [(j, masks[w]) for j, w in enumerate(passage) if w in masks]
+    places, full, best = [j for j, _ in held], (1 << n) - 1, 0
+    for first in range(-slack, len(passage), slack):
+        lo, hi = bisect_left(places, first), bisect_left(places, first + n + 2 * slack)
+        if hi - lo <= best:
+            continue
+        left = full
+        for _, mask in held[lo:hi]:
+            both = left & mask
+            left = ((left + both) | (left - both)) & full
+        best = max(best, n - left.bit_count())
+        if best == n:
+            break
+    return best
 
 
 @dataclass
@@ -248,33 +249,36 @@ class Index:
         return len(wanted & held) / len(wanted)
 
 
-def item_parts(items: DataFrame, item_id: str = "item_id", text: str = "text") -> list[dict]:
-    """What the index of each part needs: items, document frequencies of their terms, item count and mean length.
+def item_parts(items: DataFrame, item_id: str = "item_id", text: str = "text", least: int = LEAST) -> tuple[int, Iterator[dict]]:
+    """The number of parts, and one after another what the index of each needs: items, document frequencies of their terms, item count and mean length.
 
-    Frequencies are counted by Spark over all items; a part has at most about PART_WORDS words.
+    Frequencies are counted by Spark over all items; a part has at most about PART_WORDS words, and the driver holds one.
     """
-    full = items.where(F.col(item_id).isNotNull() & (F.length(F.trim(F.coalesce(F.col(text), F.lit("")))) > 0)).select(F.col(item_id).cast("bigint").alias("id"), F.col(text).alias("text"))
-    counted = full.withColumn("w", F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)(\w+)")))
+    full = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("bigint").alias("id"), F.col(text).alias("text"))
+    counted = full.withColumn("w", F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)(\w+)"))).where(F.size("w") >= max(1, least))
     head = counted.agg(F.count("*").alias("n"), F.sum(F.size("w")).alias("words")).first()
     if not head["n"]:
-        return []
+        return 0, iter(())
     parts = -(-head["words"] // PART_WORDS) or 1
     seen = counted.select(F.explode(F.array_distinct("w")).alias("t")).groupBy("t").agg(F.count("*").alias("df"))
-    out = []
-    for part in range(parts):
-        mine = full.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == part)
-        terms = mine.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)(\w+)")))).alias("t")).distinct()
-        rows = [(r["id"], r["text"]) for r in mine.collect()]
-        out.append({"items": sorted(rows), "df": {r["t"]: r["df"] for r in seen.join(terms, "t").collect()}, "n": head["n"], "mean": head["words"] / head["n"]})
-    return out
+
+    def each() -> Iterator[dict]:
+        for part in range(parts):
+            mine = counted.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == part)
+            terms = mine.select(F.explode(F.array_distinct("w")).alias("t")).distinct()
+            rows = [(r["id"], r["text"]) for r in mine.select("id", "text").collect()]
+            yield {"items": sorted(rows), "df": {r["t"]: r["df"] for r in seen.join(terms, "t").collect()}, "n": head["n"], "mean": head["words"] / head["n"]}
+
+    return parts, each()
 
 
 _built: dict[int, Index] = {}
 
 
 def _index(sent) -> Index:
-    """One index per worker process and broadcast."""
+    """The index of the broadcast at hand; a worker keeps no other."""
     if sent.id not in _built:
+        _built.clear()
         part = sent.value
         frequency = Counter(t for _, text in part["items"] for t in set(words(text)))
         frequency.update({t: part["df"][t] - n for t, n in frequency.items() if t in part["df"]})
@@ -314,23 +318,34 @@ def _finder(sent: _Sent, threshold: float, question: float, answer: float):
     return leaks
 
 
-def with_leaks(docs: DataFrame, items: DataFrame, text: str = "text", out: str = "leaks", threshold: float = RETRIEVE, question: float = QUESTION, answer: float = ANSWER) -> DataFrame:
-    """The rows with a column of verified leaks, one struct per item, in one projection per part of the index."""
+def _judged(docs: DataFrame, items: DataFrame, text: str, threshold: float, question: float, answer: float, least: int) -> DataFrame:
+    """row (all columns) and leaks; with several parts of the index the rows are written after each pass."""
     bounded_batches(docs.sparkSession)
-    rows = docs
-    names = []
-    for i, part in enumerate(item_parts(items)):
-        names.append(f"_leaks_{i}")
-        rows = rows.withColumn(names[-1], _finder(_Sent(docs.sparkSession, part), threshold, question, answer)(F.col(text)))
-    empty = F.array().cast(LEAK)
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], (F.concat(*names) if names else empty).alias(out))
+    parts, each = item_parts(items, least=least)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.array().cast(LEAK).alias("leaks"))
+    work = Workspace(docs.sparkSession)
+    for i, part in enumerate(each):
+        find = _finder(_Sent(docs.sparkSession, part), threshold, question, answer)
+        rows = rows.withColumn("found", find(F.col("row")[text])).select("row", F.concat("leaks", "found").alias("leaks"))
+        if parts > 1:
+            rows = work.written(rows, f"pass-{i}")
+            work.drop(f"pass-{i - 1}")
+    return rows
+
+
+def with_leaks(docs: DataFrame, items: DataFrame, text: str = "text", out: str = "leaks", threshold: float = RETRIEVE, question: float = QUESTION, answer: float = ANSWER, least: int = LEAST) -> DataFrame:
+    """The rows with a column `out` of verified leaks, one struct per item; it takes the place of a column of that name."""
+    rows = _judged(docs, items, text, threshold, question, answer, least)
+    return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != out], F.col("leaks").alias(out))
 
 
-def found_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def found_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
     """One row per document and item: key, item_id, score, question, answer, first_word."""
-    return with_leaks(docs.select(key, text), items, text).select(key, F.explode("leaks").alias("leak")).select(key, "leak.*")
+    rows = _judged(docs.select(key, text), items, text, RETRIEVE, QUESTION, ANSWER, least)
+    return rows.select(F.col("row")[key].alias(key), F.explode("leaks").alias("leak")).select(key, "leak.*")
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
+def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text", least: int = LEAST) -> DataFrame:
     """The documents in which no item was found, with their columns."""
-    return with_leaks(docs, items, text, "_leaks").where(F.size("_leaks") == 0).drop("_leaks")
+    rows = _judged(docs, items, text, RETRIEVE, QUESTION, ANSWER, least)
+    return rows.where(F.size("leaks") == 0).select(*[F.col("row")[c].alias(c) for c in docs.columns])
