@@ -1,7 +1,7 @@
 """Spatial joins, distance search and nearest items over projected geometries.
 
-Range predicates are rewritten as equi-joins on grid cells, so no pair of rows meets unless it
-shares a cell. Where both sides can be large, a salt spreads the points of a crowded cell.
+Range predicates are rewritten as equi-joins on the cells of a linear quadtree, so no pair of rows meets unless it
+shares a cell. A box lies in the cells of its own size class, four at most; crowded cells are split by their counts.
 """
 
 from __future__ import annotations
@@ -17,9 +17,6 @@ MIN_METRES, MAX_METRES, RESULT_LIMIT = 10, 50_000, 200
 BAD_POSITION = "Ugyldige koordinater."
 BAD_DISTANCE = f"Avstand må være mellom {MIN_METRES} og {MAX_METRES} meter."
 
-SALTS = 8
-
-
 def project_points(df: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:
     """Adds x and y in metres.
 
@@ -46,42 +43,94 @@ def with_extent(df: DataFrame, rings: str = "rings", is_area: Column | None = No
     )
 
 
-def _cell(v: Column, size: float) -> Column:
-    return F.floor(v / size)
+#: Points of a cell above which it is split.
+CROWD = 50_000
+CELL = ["level", "cx", "cy"]
 
 
-def _covering_cells(df: DataFrame, size: float, margin: Column | float = 0.0) -> DataFrame:
-    """One row per grid cell that the (widened) bounding box touches."""
+def _with_level(boxes: DataFrame, margin: Column | float = 0.0) -> DataFrame:
+    """Adds the (widened) box as bx0, bx1, by0, by1 and its size class: a cell of 2 ** level metres is no smaller than the box."""
     m = margin if isinstance(margin, Column) else F.lit(float(margin))
-    return df.withColumn("cx", F.explode_outer(F.sequence(_cell(F.col("min_x") - m, size), _cell(F.col("max_x") + m, size)))).withColumn(
-        "cy", F.explode_outer(F.sequence(_cell(F.col("min_y") - m, size), _cell(F.col("max_y") + m, size)))
-    )
+    wide = boxes.withColumns({"bx0": F.col("min_x") - m, "bx1": F.col("max_x") + m, "by0": F.col("min_y") - m, "by1": F.col("max_y") + m})
+    edge = F.greatest(F.col("bx1") - F.col("bx0"), F.col("by1") - F.col("by0"), F.lit(1.0))
+    return wide.withColumn("level", F.ceil(F.log2(edge)).cast("int"))
+
+
+def _cell(v: Column) -> Column:
+    return F.floor(v / F.pow(F.lit(2.0), F.col("level")))
+
+
+def _covering_cells(boxes: DataFrame) -> DataFrame:
+    """A row per cell of the box's `level` that it touches: four at most, however large the box is."""
+    across = boxes.withColumn("cx", F.explode(F.sequence(_cell(F.col("bx0")), _cell(F.col("bx1")))))
+    return across.withColumn("cy", F.explode(F.sequence(_cell(F.col("by0")), _cell(F.col("by1")))))
+
+
+def _levels(boxes: DataFrame) -> Column:
+    """The size classes that occur, a few numbers as one value."""
+    return boxes.agg(F.collect_set("level")).scalar()
+
+
+def _in_parts(many: DataFrame, few: DataFrame, crowd: float) -> tuple[DataFrame, DataFrame]:
+    """Both sides with `_part`: cells with more than `crowd` rows of `many` are cut by a hash, and only their rows of `few` are copied."""
+    crowded = many.groupBy(*CELL).agg(F.count("*").alias("_n")).where(F.col("_n") > crowd).select(*CELL, F.ceil(F.col("_n") / F.lit(float(crowd))).cast("int").alias("_parts"))
+    parts = F.coalesce("_parts", F.lit(1))
+    key = [c for c, kind in many.dtypes if not kind.startswith(("array", "map", "struct"))]
+    left = many.join(crowded, CELL, "left").withColumn("_part", F.pmod(F.xxhash64(*key), parts).cast("int")).drop("_parts")
+    return left, few.join(crowded, CELL, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+
 
+def _paired(points: DataFrame, areas: DataFrame, margin: float, crowd: float) -> DataFrame:
+    """Points with the areas in whose (widened) box they may lie, each pair once.
 
-def _salted(points: DataFrame, areas: DataFrame, salts: int) -> tuple[DataFrame, DataFrame]:
-    spread = points.withColumn("_salt", F.pmod(F.xxhash64(*points.columns), F.lit(salts)).cast("int"))
-    copied = areas.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return spread, copied
+    Areas lie in the cells of their own size class; a point looks in its cell of every class that occurs.
+    """
+    boxes = _with_level(areas, margin)
+    own = points.withColumn("level", F.explode(_levels(boxes)))
+    own = own.withColumn("cx", _cell(F.col("x"))).withColumn("cy", _cell(F.col("y")))
+    left, right = _in_parts(own, _covering_cells(boxes), crowd)
+    inside = F.col("x").between(F.col("bx0"), F.col("bx1")) & F.col("y").between(F.col("by0"), F.col("by1"))
+    return left.join(right, [*CELL, "_part"]).filter(inside).drop(*CELL, "_part", "bx0", "bx1", "by0", "by1")
 
 
-def points_in_polygons(points: DataFrame, polygons: DataFrame, cell_metres: float = 25_000.0, salts: int = SALTS) -> DataFrame:
+def points_in_polygons(points: DataFrame, polygons: DataFrame, crowd: float = CROWD) -> DataFrame:
     """Pairs whose point lies strictly inside; `points` has x, y and `polygons` the columns of `with_extent`."""
-    own = points.withColumn("cx", _cell(F.col("x"), cell_metres)).withColumn("cy", _cell(F.col("y"), cell_metres))
-    left, right = _salted(own, _covering_cells(polygons, cell_metres), salts)
-    in_box = F.col("x").between(F.col("min_x"), F.col("max_x")) & F.col("y").between(F.col("min_y"), F.col("max_y"))
-    pairs = left.join(right, ["cx", "cy", "_salt"]).filter(in_box)
-    return pairs.filter(geo.strictly_within(F.col("edges"), F.col("x"), F.col("y"))).drop("cx", "cy", "_salt")
-
-
-def within_distance(points: DataFrame, sites: DataFrame, metres: float, salts: int = SALTS) -> DataFrame:
-    """Pairs at most `metres` apart; a point has one cell, so no pair appears twice."""
-    own = points.withColumn("cx", _cell(F.col("x"), metres)).withColumn("cy", _cell(F.col("y"), metres))
-    left, right = _salted(own, _covering_cells(sites, metres, metres), salts)
-    pairs = left.join(right, ["cx", "cy", "_salt"]).drop("cx", "cy", "_salt")
-    exact = pairs.withColumn("distance", geo.distance_to(F.col("edges"), F.col("is_area"), F.col("x"), F.col("y")))
+    return _paired(points, polygons, 0.0, crowd).filter(geo.strictly_within(F.col("edges"), F.col("x"), F.col("y")))
+
+
+def within_distance(points: DataFrame, sites: DataFrame, metres: float, crowd: float = CROWD) -> DataFrame:
+    """Pairs at most `metres` apart."""
+    exact = _paired(points, sites, metres, crowd).withColumn("distance", geo.distance_to(F.col("edges"), F.col("is_area"), F.col("x"), F.col("y")))
     return exact.filter(F.col("distance") <= metres)
 
 
+def meeting_boxes(left: DataFrame, right: DataFrame, crowd: float = CROWD) -> DataFrame:
+    """Pairs whose boxes touch, each once, all columns of both sides; the box of `right` becomes right_min_x and so on.
+
+    The smaller of two boxes looks up the size class of the larger one, where it touches four cells at most; the pair
+    counts in the cell that holds the lower corner of the overlap.
+    """
+    boxes = ("min_x", "max_x", "min_y", "max_y")
+    kept = [*left.columns, *[f"right_{c}" if c in boxes else c for c in right.columns]]
+    near, far = _with_level(left), _with_level(right)
+    renamed = {c: f"right_{c}" for c in (*boxes, "bx0", "bx1", "by0", "by1")}
+
+    def join(a: DataFrame, b: DataFrame) -> DataFrame:
+        a, b = _in_parts(a, b, crowd)
+        pairs = a.join(b.withColumnsRenamed(renamed), [*CELL, "_part"])
+        touch = (F.col("min_x") <= F.col("right_max_x")) & (F.col("right_min_x") <= F.col("max_x")) & (F.col("min_y") <= F.col("right_max_y")) & (F.col("right_min_y") <= F.col("max_y"))
+        home = (F.col("cx") == _cell(F.greatest("min_x", "right_min_x"))) & (F.col("cy") == _cell(F.greatest("min_y", "right_min_y")))
+        return pairs.filter(touch & home).select(*kept)
+
+    def at_classes(boxes_: DataFrame, others: Column, same: bool) -> DataFrame:
+        every = boxes_.withColumnRenamed("level", "_own").withColumn("level", F.explode(others))
+        return _covering_cells(every.where("level >= _own" if same else "level > _own").drop("_own"))
+
+    small_left = join(at_classes(near, _levels(far), True), _covering_cells(far))
+    small_right = join(_covering_cells(near), at_classes(far, _levels(near), False))
+    return small_left.unionByName(small_right)
+
+
 def check_probes(probes: DataFrame, lo: float = MIN_METRES, hi: float = MAX_METRES) -> DataFrame:
     """Adds `error` where the position or the distance is out of range."""
     position = F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180)
@@ -90,20 +139,13 @@ def check_probes(probes: DataFrame, lo: float = MIN_METRES, hi: float = MAX_METR
     )
 
 
-def buffer_search(probes: DataFrame, sites: DataFrame, cell_metres: float = 25_000.0, limit: int = RESULT_LIMIT) -> DataFrame:
-    """Sites within each valid probe's own distance, nearest first, at most `limit` per probe.
-
-    Both sides cover several cells; a pair is kept only in the cell that holds the lower corner of
-    the overlap of the two boxes, so it is produced once without a distinct.
-    """
+def buffer_search(probes: DataFrame, sites: DataFrame, limit: int = RESULT_LIMIT) -> DataFrame:
+    """Sites within each valid probe's own distance, nearest first, at most `limit` per probe."""
     good = project_points(check_probes(probes).filter("error IS NULL"))
-    reach = good.withColumns(
+    reach = good.select("probe_id", "x", "y", "distance").withColumns(
         {"min_x": F.col("x") - F.col("distance"), "max_x": F.col("x") + F.col("distance"), "min_y": F.col("y") - F.col("distance"), "max_y": F.col("y") + F.col("distance")}
     )
-    left = _covering_cells(reach, cell_metres).select("probe_id", "x", "y", "distance", F.col("min_x").alias("px"), F.col("min_y").alias("py"), "cx", "cy")
-    right = _covering_cells(sites, cell_metres)
-    home = (F.col("cx") == _cell(F.greatest("px", "min_x"), cell_metres)) & (F.col("cy") == _cell(F.greatest("py", "min_y"), cell_metres))
-    pairs = left.join(right, ["cx", "cy"]).filter(home)
+    pairs = meeting_boxes(reach, sites)
     exact = pairs.withColumn("metres", F.round(geo.distance_to(F.col("edges"), F.col("is_area"), F.col("x"), F.col("y")), 3))
     near = exact.filter(F.col("metres") <= F.col("distance"))
     nearest = Window.partitionBy("probe_id").orderBy("metres", "site_id")

@@ -93,6 +93,33 @@ def test_hole_and_boundary(spark):
     assert {r.point_id for r in geometry.points_in_polygons(pts, polys, 3.0).collect()} == {2}
 
 
+def test_boxes_of_all_sizes_meet_once(spark):
+    """From points to half the plane, crowded cells cut: the pairs are those of brute force, and no box has more than four rows."""
+    import random
+
+    rng = random.Random(4)
+
+    def boxes(n):
+        rows = []
+        for i in range(n):
+            w, h = (rng.choice([0.0, 0.5, 3.0, 40.0, 900.0, 1e6]) * rng.random() for _ in range(2))
+            x, y = (rng.choice([rng.uniform(-500, 500), rng.uniform(-5e5, 5e5), 0.0]) for _ in range(2))
+            rows.append((i, x, x + w, y, y + h))
+        return rows
+
+    left, right = boxes(150), boxes(130)
+    a, b = (spark.createDataFrame(rows, f"{name} int, min_x double, max_x double, min_y double, max_y double") for rows, name in ((left, "a"), (right, "b")))
+    want = sorted((i, j) for i, x0, x1, y0, y1 in left for j, u0, u1, v0, v1 in right if x0 <= u1 and u0 <= x1 and y0 <= v1 and v0 <= y1)
+    for crowd in (3, geometry.CROWD):
+        pairs = geometry.meeting_boxes(a, b, crowd)
+        assert sorted((r.a, r.b) for r in pairs.collect()) == want and pairs.columns[-4:] == ["right_min_x", "right_max_x", "right_min_y", "right_max_y"]
+    assert geometry._covering_cells(geometry._with_level(a)).groupBy("a").count().agg(F.max("count")).first()[0] <= 4
+    sites = a.withColumns({"edges": F.array().cast("array<struct<ax:double,ay:double,bx:double,by:double>>"), "is_area": F.lit(True)})
+    points = spark.createDataFrame([(i, rng.uniform(-500, 500), rng.uniform(-500, 500)) for i in range(200)], "point_id int, x double, y double")
+    near = {(r.point_id, r.a) for r in geometry._paired(points, sites, 50.0, 5).collect()}
+    assert near == {(p.point_id, i) for p in points.collect() for i, x0, x1, y0, y1 in left if x0 - 50 <= p.x <= x1 + 50 and y0 - 50 <= p.y <= y1 + 50}
+
+
 @pytest.mark.parametrize(
     "text, n, parts",
     [
