@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fjelldoc.functions.geo import POINT
 
-#: Levels of collections inside collections that are flattened; deeper ones raise an error.
+#: Levels of collections inside collections that column functions flatten; deeper ones are null with an error, or walked on demand.
 DEPTH = 4
 
 PARTS = f"array<array<array<{POINT}>>>"
@@ -37,8 +40,11 @@ def _simple_parts(g: Column) -> Column:
     )
 
 
-def _flattened(g: Column, kind: str, field: str) -> Column:
-    """The members of a collection of any of DEPTH levels; the value itself if it is none."""
+def _flattened(g: Column, kind: str, field: str, deep: bool = False) -> Column:
+    """The members of a collection; the value itself if it is none.
+
+    A collection of more than DEPTH levels is null, or with `deep` walked in Arrow batches like any other.
+    """
 
     def members(v: Column) -> Column:
         listed = F.from_json(_json(v, f"$.{field}"), "array<string>")
@@ -47,18 +53,45 @@ def _flattened(g: Column, kind: str, field: str) -> Column:
     out = members(g)
     for _ in range(DEPTH - 1):
         out = F.flatten(F.transform(out, members))
-    too_deep = F.exists(out, lambda v: F.coalesce(_json(v, "$.type") == kind, F.lit(False)))
-    return F.when(too_deep, F.raise_error(F.lit(f"{kind} nested deeper than {DEPTH} levels"))).otherwise(out)
-
-
-def parts(g: Column) -> Column:
+    deeper = F.exists(out, lambda v: F.coalesce(_json(v, "$.type") == kind, F.lit(False)))
+    return F.when(~deeper, out).otherwise(_walked(F.when(deeper, g), F.lit(kind), F.lit(field)) if deep else None)
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _walked(values, kinds, fields):
+    """All members of a collection of any depth in order, as text; rows that the column functions have done come as null."""
+    import pyarrow as pa
+
+    out = []
+    for text, kind, field in zip(values.to_pylist(), kinds.to_pylist(), fields.to_pylist(), strict=True):
+        if text is None:
+            out.append(None)
+            continue
+        flat, waiting = [], [json.loads(text)]
+        while waiting:
+            value = waiting.pop()
+            if isinstance(value, dict) and value.get("type") == kind:
+                waiting += reversed(value.get(field) or [])
+            else:
+                flat.append(json.dumps(value, ensure_ascii=False, separators=(",", ":")))
+        out.append(flat)
+    return pa.array(out, pa.list_(pa.string()))
+
+
+def depth_error(g: Column) -> Column:
+    """An error text for values whose collections are nested too deep for the column functions, else null."""
+    lost = [(_json(g, "$.type") == kind) & _flattened(g, kind, field).isNull() for kind, field in (("FeatureCollection", "features"), ("GeometryCollection", "geometries"))]
+    return F.when(lost[0] | lost[1], F.lit(f"collections nested deeper than {DEPTH} levels"))
+
+
+def parts(g: Column, deep: bool = False) -> Column:
     """Parts of any GeoJSON geometry, collections flattened."""
-    nested = F.flatten(F.transform(_flattened(g, "GeometryCollection", "geometries"), _simple_parts))
+    nested = F.flatten(F.transform(_flattened(g, "GeometryCollection", "geometries", deep), _simple_parts))
     return F.when(_json(g, "$.type") == "GeometryCollection", nested).otherwise(_simple_parts(g))
 
 
-def geometry(g: Column) -> Column:
-    return F.struct(_json(g, "$.type").alias("type"), parts(g).alias("parts"))
+def geometry(g: Column, deep: bool = False) -> Column:
+    return F.struct(_json(g, "$.type").alias("type"), parts(g, deep).alias("parts"))
 
 
 def vertices(g: Column) -> Column:
@@ -68,9 +101,23 @@ def vertices(g: Column) -> Column:
     return _points(F.from_json(F.concat(F.lit("["), F.array_join(innermost, ","), F.lit("]")), "array<array<double>>"))
 
 
-def features(g: Column) -> Column:
+#: How deep the coordinates of each type nest.
+NESTING = {"Point": 1, "LineString": 2, "MultiPoint": 2, "Polygon": 3, "MultiLineString": 3, "MultiPolygon": 4}
+
+
+def coordinates(g: Column) -> Column:
+    """The nested coordinates of a geometry as text, numbers in their shortest form; null for a collection or what is no geometry."""
+    kind, c = _json(g, "$.type"), _json(g, "$.coordinates")
+    out = F.lit(None).cast("string")
+    for depth in range(1, 5):
+        nested = "array<" * depth + "double" + ">" * depth
+        out = F.when(kind.isin(*[k for k, n in NESTING.items() if n == depth]), F.to_json(F.from_json(c, nested))).otherwise(out)
+    return out
+
+
+def features(g: Column, deep: bool = False) -> Column:
     """Features of any GeoJSON value: bare geometries are wrapped, collections flattened."""
-    typed = F.filter(_flattened(g, "FeatureCollection", "features"), lambda f: _json(f, "$.type").isNotNull())
+    typed = F.filter(_flattened(g, "FeatureCollection", "features", deep), lambda f: _json(f, "$.type").isNotNull())
     wrapped = F.transform(
         typed,
         lambda f: F.when(_json(f, "$.type") == "Feature", f).otherwise(

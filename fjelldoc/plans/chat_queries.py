@@ -113,23 +113,47 @@ def context_gauge(t: Tables):
     return usage.context_gauge(t.events_in)
 
 
-@query("""
-  SELECT l_orderkey AS snapshot_id, name, CASE WHEN remaining > 1 THEN remaining / 100 ELSE remaining END AS remaining_percentage, used AS used_requests
-  FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE l_returnflag WHEN 'R' THEN 'Premium_requests' WHEN 'A' THEN 'chat' ELSE 'completions' END AS name,
-               l_quantity AS used, CASE WHEN l_tax > 0 THEN l_tax * 50 END AS remaining, l_discount < 0.03 AS unlimited FROM lineitem)
-  QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN lower(name) LIKE '%premium%' THEN 0 WHEN NOT unlimited THEN 1 ELSE 2 END, l_linenumber, l_partkey, l_suppkey, used) = 1""")
-def monthly_quota(t: Tables):
+QUOTAS = """
+  q AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE l_returnflag WHEN 'R' THEN 'Premium_requests' WHEN 'A' THEN 'chat' ELSE 'completions' END AS name,
+               l_quantity AS used, CASE WHEN l_linenumber > 1 THEN l_quantity * 4 END AS entitled, CASE WHEN l_tax > 0 THEN l_tax * 50 END AS remaining, l_discount < 0.03 AS unlimited,
+               CASE WHEN l_linestatus = 'O' THEN round(l_extendedprice) END AS overage, strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S') AS reset_date FROM lineitem)"""
+_PICKED = """
+  SELECT l_orderkey AS snapshot_id, name, CASE WHEN remaining > 1 THEN remaining / 100 ELSE remaining END AS remaining_percentage, used AS used_requests,
+         entitled AS entitlement_requests, unlimited AS is_unlimited_entitlement, overage, reset_date, 'authoritative' AS confidence
+  FROM {} QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN lower(name) LIKE '%premium%' THEN 0 WHEN NOT unlimited THEN 1 ELSE 2 END, l_linenumber, l_partkey, l_suppkey, used) = 1"""
+
+
+def quotas(t: Tables):
+    """Named quota snapshots, several per order."""
     name = F.when(F.col("l_returnflag") == "R", "Premium_requests").when(F.col("l_returnflag") == "A", "chat").otherwise("completions")
-    quotas = t.lineitem.select(
+    return t.lineitem.select(
         F.col("l_orderkey").alias("snapshot_id"),
         F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").alias("pos"),
         name.alias("name"),
         F.col("l_quantity").alias("used_requests"),
-        F.lit(None).cast("double").alias("entitlement_requests"),
+        F.when(F.col("l_linenumber") > 1, F.col("l_quantity") * 4).alias("entitlement_requests"),
         F.when(F.col("l_tax") > 0, F.col("l_tax") * 50).alias("remaining_percentage"),
         (F.col("l_discount") < 0.03).alias("is_unlimited_entitlement"),
+        F.when(F.col("l_linestatus") == "O", F.round("l_extendedprice")).alias("overage"),
+        F.col("l_shipdate").cast("timestamp").alias("reset_date"),
     )
-    return usage.pick_quota(quotas).select("snapshot_id", "name", "remaining_percentage", "used_requests")
+
+
+@query(f"WITH {QUOTAS} {_PICKED.format('q')}")
+def monthly_quota(t: Tables):
+    return usage.pick_quota(quotas(t))
+
+
+@query(f"""WITH {QUOTAS}, firsts AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY l_orderkey, name ORDER BY l_linenumber, l_partkey, l_suppkey, used) = 1)
+  {_PICKED.format('firsts')}""")
+def monthly_quota_of_maps(t: Tables):
+    """The same choice from snapshots that arrive as a map from name to quota, in map order."""
+    rows = quotas(t)
+    fields = [c for c in rows.columns if c not in ("snapshot_id", "pos", "name")]
+    first = rows.groupBy("snapshot_id", "name").agg(F.min(F.struct("pos", F.struct(*fields).alias("quota"))).alias("q"))
+    entries = F.array_sort(F.collect_list(F.struct("q.pos", "name", "q.quota")))
+    maps = first.groupBy("snapshot_id").agg(F.map_from_entries(F.transform(entries, lambda e: F.struct(e["name"], e["quota"]))).alias("quotas"))
+    return usage.pick_quota(usage.explode_quotas(maps))
 
 
 # -- keyed writes ------------------------------------------------------------

@@ -245,13 +245,18 @@ def parsed_geometries(t: Tables):
 def coordinate_lists(t: Tables):
     """Type and nested coordinates, numbers in their shortest form."""
     f = export.layer_features(shaped_layers(t))
-    c = F.get_json_object("geometry", "$.coordinates")
-    kind = F.get_json_object("geometry", "$.type")
-    flat = F.to_json(F.from_json(c, "array<double>"))
-    pairs = F.to_json(F.from_json(c, "array<array<double>>"))
-    nested = F.to_json(F.from_json(c, "array<array<array<double>>>"))
-    text = F.when(kind == "Point", flat).when(kind == "LineString", pairs).otherwise(nested)
-    return f.select("feature_id", "layer_id", kind.alias("type"), text.alias("coordinates"))
+    return f.select("feature_id", "layer_id", F.get_json_object("geometry", "$.type").alias("type"), geojson.coordinates(F.col("geometry")).alias("coordinates"))
+
+
+@query("""
+  SELECT c_custkey AS point_id, span, CASE WHEN span < 0.005 THEN 18 WHEN span < 0.05 THEN 17 WHEN span < 0.5 THEN 15 WHEN span < 2 THEN 13 ELSE 11 END AS zoom
+  FROM (SELECT c_custkey, (c_custkey % 1000) * (c_custkey % 7 + 1) * 0.0005e0 AS span FROM customer)""")
+def fly_zooms(t: Tables):
+    """Zoom for boxes from a point to several degrees, wider or higher."""
+    span = F.col("c_custkey") % 1000 * (F.col("c_custkey") % 7 + 1) * 0.0005
+    flat = F.col("c_custkey") % 2 == 0
+    rows = t.customer.select(F.col("c_custkey").alias("point_id"), span.alias("span"), F.when(flat, span).otherwise(span / 3).alias("w"), F.when(flat, span / 2).otherwise(span).alias("h"))
+    return rows.select("point_id", "span", geo.fly_zoom(F.lit(0.0), F.lit(0.0), F.col("w"), F.col("h")).alias("zoom"))
 
 
 @query(with_tables("sites").rstrip() + "," + CORNERS + f""",

@@ -168,7 +168,6 @@ def test_nearest_beyond_the_old_border(spark):
 
 
 def test_nested_collections_are_flattened(spark):
-    from pyspark.errors import PySparkException
     from pyspark.sql import functions as F
 
     from fjelldoc.functions import geojson
@@ -185,5 +184,10 @@ def test_nested_collections_are_flattened(spark):
         found = nested("FeatureCollection", "features", depth).select(geojson.features(F.col("g"))).first()[0]
         assert len(found) == depth + 1 and all('"geometry":{"type":"Point"' in f for f in found)
         assert len(nested("GeometryCollection", "geometries", depth).select(geojson.parts(F.col("g"))).first()[0]) == depth + 1
-    with pytest.raises(PySparkException, match="nested deeper"):
-        nested("FeatureCollection", "features", 5).select(geojson.features(F.col("g"))).collect()
+    for depth in (5, 40):  # one such row must not end the query: it has an error, or is walked when asked for
+        row = nested("FeatureCollection", "features", depth).select(geojson.features(F.col("g")).alias("f"), geojson.depth_error(F.col("g")).alias("e"), geojson.features(F.col("g"), deep=True).alias("d")).first()
+        assert row.f is None and "nested deeper" in row.e and len(row.d) == depth + 1
+        row = nested("GeometryCollection", "geometries", depth).select(geojson.parts(F.col("g")).alias("p"), geojson.depth_error(F.col("g")).alias("e"), geojson.parts(F.col("g"), deep=True).alias("d")).first()
+        assert row.p is None and "nested deeper" in row.e and len(row.d) == depth + 1
+    shallow = nested("FeatureCollection", "features", 2).select(geojson.depth_error(F.col("g")).alias("e"), geojson.features(F.col("g"), deep=True).alias("d")).first()
+    assert shallow.e is None and len(shallow.d) == 3
