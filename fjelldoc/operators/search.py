@@ -219,10 +219,40 @@ def merge_semantic(chunk_hits: DataFrame, doc_hits: DataFrame, limit: int = DEFA
     return top_k(both, "query_id", "score", "id", limit)
 
 
+#: Section fields that a chunk hit is returned with.
+CHUNK_FIELDS = ["text", "heading_path", "section_title", "section_number", "topic_type", "alternative", "delomrade", "contains_table", "page_start", "page_end"]
+
+
 def with_chunk(hits: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataFrame:
-    """Title, whole chunk text and section fields of the returned hits only."""
-    fields = chunks.drop("embedding", "document_id")
-    return hits.join(docs.select("id", "title"), "id").join(fields, "chunk_id", "left")
+    """Title, chunk text as snippet and section fields of the returned hits only; document hits have null fields and the document's snippet."""
+    fields = chunks.select("chunk_id", *[F.col(c) for c in CHUNK_FIELDS])
+    joined = hits.join(docs.select("id", "title", snippet(F.col("content")).alias("_content")), "id").join(fields, "chunk_id", "left")
+    return joined.withColumn("content", F.coalesce(snippet(F.col("text")), F.col("_content"))).drop("_content")
+
+
+def hybrid_search(
+    docs: DataFrame, queries: DataFrame, chunks: DataFrame | None = None, doc_vectors: DataFrame | None = None, query_vectors: DataFrame | None = None,
+    limit: int = DEFAULT_LIMIT, methods: tuple[str, ...] = ("fulltext", "semantic", "fuzzy"), store=None,
+) -> DataFrame:
+    """Full text, vectors (chunks first, documents they don't cover after) and fuzzy search, the best hit per document.
+
+    A method that is left out of `methods`, or whose vectors are not given, is skipped. Full text uses stored postings
+    if a `store` is given.
+    """
+    lists: dict[str, DataFrame] = {}
+    if "fulltext" in methods:
+        lists["fulltext"] = store.hits(queries, limit) if store is not None else search_full_text(docs, queries, limit)
+    if "semantic" in methods and query_vectors is not None:
+        legs = []
+        if chunks is not None:
+            legs.append(search_semantic_chunks(chunks, docs, query_vectors, limit))
+        if doc_vectors is not None:
+            legs.append(search_semantic_documents(doc_vectors, query_vectors, limit))
+        if legs:
+            lists["semantic"] = legs[0] if len(legs) == 1 else merge_semantic(*legs, limit)
+    if "fuzzy" in methods:
+        lists["fuzzy"] = search_fuzzy(docs, queries, limit)
+    return hybrid_merge(lists, limit)
 
 
 # -- trigrams ----------------------------------------------------------------

@@ -9,7 +9,7 @@ from fjelldoc.functions import lexemes as lx
 from fjelldoc.functions import vectors
 from fjelldoc.functions.text import snippet
 from fjelldoc.functions.trigrams import trigram_set
-from fjelldoc.operators import search
+from fjelldoc.operators import chunking, search
 from fjelldoc.operators.embed import embed_texts, hashing_embedder
 from fjelldoc.operators.postings import PostingsStore
 from fjelldoc.operators.scoring import top_k
@@ -389,16 +389,28 @@ def search_result_envelope(t: Tables):
     return search.with_counts(_merged_methods(t)).select("query_id", "id", "score", "source", "count")
 
 
+def embedded_chunks(t: Tables):
+    """Chunks of the documents with their section fields and hashed word vectors."""
+    rows = chunking.chunk_documents(t.blocks).withColumn("chunk_id", F.col("doc_id") * 100_000 + F.col("chunk_index")).withColumnRenamed("doc_id", "document_id")
+    return embed_texts(rows, hashing_embedder(EMBED_DIM), "text")
+
+
 @query()
 def hybrid_search(t: Tables):
-    """Full text, vectors and fuzzy search with word similarity together."""
+    """Full text, vectors of chunks and documents, and fuzzy search with word similarity together."""
+    docs, asked = text_vectors(t, t.queries)
+    chunks = embedded_chunks(t) if hasattr(t, "blocks") else None
+    return search.hybrid_search(t.docs, t.queries, chunks, docs, asked).select("query_id", "id", "score", "source")
+
+
+@query()
+def chunk_hits_with_fields(t: Tables):
+    """Vector search over chunks, each hit with title, snippet, heading path, topic, alternative, area code, table flag and pages."""
+    chunks = embedded_chunks(t)
     docs, asked = text_vectors(t, t.queries)
-    lists = {
-        "fulltext": search.search_full_text(t.docs, t.queries),
-        "semantic": search.search_semantic_documents(docs, asked),
-        "fuzzy": search.search_fuzzy(t.docs, t.queries),
-    }
-    return search.hybrid_merge(lists).select("query_id", "id", "score", "source")
+    hits = search.merge_semantic(search.search_semantic_chunks(chunks, t.docs, asked), search.search_semantic_documents(docs, asked))
+    found = search.with_chunk(hits, chunks, t.docs)
+    return found.select("query_id", "rank", "id", "chunk_id", "score", "title", "content", *[c for c in search.CHUNK_FIELDS if c != "text"])
 
 
 @query(with_tables("docs") + """

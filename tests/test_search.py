@@ -247,3 +247,23 @@ def test_fuzzy_and_hybrid_ask_every_benchmark_text(spark, monkeypatch):
     found = search_queries.hybrid_search(t).collect()
     assert {r.query_id for r in found} == {7, 8, 31} and (31, 2, "fulltext") in {(r.query_id, r.id, r.source) for r in search.hybrid_merge({"fulltext": search.search_full_text(t.docs, t.queries)}).collect()}
     assert all(r.score >= want.get((r.query_id, r.id), 0) for r in found)
+
+
+def test_chunk_hits_carry_their_section(spark):
+    docs = spark.createDataFrame([(1, "One", "w " * 400, "ready"), (2, "Two", "doc text", "partial"), (3, "Three", "hidden", "new")], "id bigint, title string, content string, indexing_status string")
+    fields = "chunk_id bigint, document_id bigint, text string, heading_path string, section_title string, section_number string, topic_type string, alternative string, delomrade string, contains_table boolean, page_start int, page_end int, embedding array<float>"
+    row = lambda i, d, text, v: (i, d, text, "1 A > 1.2 B", "B", "1.2", "metode", "alternativ 1", "N01", True, 2, 3, v)
+    chunks = spark.createDataFrame([row(10, 1, "x" * 400, [1.0, 0.0]), row(11, 1, "other", [0.0, 1.0]), row(30, 3, "hidden", [1.0, 0.0])], fields)
+    vectors_ = spark.createDataFrame([(1, "ready", [0.9, 0.1]), (2, "partial", [0.8, 0.6])], "id bigint, indexing_status string, embedding array<float>")
+    asked = spark.createDataFrame([(7, [1.0, 0.0])], "query_id bigint, embedding array<float>")
+    hits = search.merge_semantic(search.search_semantic_chunks(chunks, docs, asked), search.search_semantic_documents(vectors_, asked))
+    got = sorted(search.with_chunk(hits, chunks, docs).collect(), key=lambda r: r["rank"])
+    assert [(r.id, r.chunk_id, r.title) for r in got] == [(1, 10, "One"), (2, None, "Two")]
+    assert got[0].content == "x" * 300 + "…" and (got[0].heading_path, got[0].delomrade, got[0].page_end, got[0].contains_table) == ("1 A > 1.2 B", "N01", 3, True)
+    assert got[1].content == "doc text" and got[1].heading_path is None
+    queries = spark.createDataFrame([(7, "doc text")], "query_id bigint, query string")
+    every = search.hybrid_search(docs, queries, chunks, vectors_, asked).collect()
+    assert {r.id: r.source for r in every} == {1: "semantic", 2: "fuzzy"}
+    only = search.hybrid_search(docs, queries, methods=("fulltext",)).collect()
+    assert {(r.id, r.source) for r in only} == {(2, "fulltext")}
+    assert {r.source for r in search.hybrid_search(docs, queries, None, vectors_, asked, methods=("semantic",)).collect()} == {"semantic"}
