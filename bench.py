@@ -16,6 +16,8 @@ HEADLINE = [
     "fulltext_norwegian",
     "trigram_title_similarity",
     "hybrid_best_hits",
+    "fuzzy_search",
+    "hybrid_search",
     "redacted_documents",
     "fixed_size_windows",
     "document_chunks",
