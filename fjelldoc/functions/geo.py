@@ -188,6 +188,45 @@ def ring_centroid(ring: Column) -> Column:
     return F.aggregate(ring_edges(ring), start, step, finish)
 
 
+def _near(ring: Column) -> Column:
+    """The vertices relative to the first one."""
+    return F.transform(ring, lambda v: point(v["x"] - ring[0]["x"], v["y"] - ring[0]["y"]))
+
+
+def ring_area(ring: Column) -> Column:
+    """Area inside a closed ring, whichever way round it runs."""
+    return F.abs(F.aggregate(ring_edges(_near(ring)), F.lit(0.0), lambda s, e: s + e["ax"] * e["by"] - e["bx"] * e["ay"])) / 2
+
+
+def _weighted(spots: Column) -> Column:
+    """Mean of (x, y) by weight `w`; the plain mean if the weights come to nothing, null if there is none."""
+    def total(value) -> Column:
+        return F.aggregate(spots, F.lit(0.0), lambda s, v: s + value(v))
+
+    weight, n = total(lambda v: v["w"]), F.size(spots)
+    mean = [F.when(weight != 0, F.try_divide(total(lambda v, c=c: v["w"] * v[c]), weight)).otherwise(F.try_divide(total(lambda v, c=c: v[c]), n)) for c in "xy"]
+    return F.when(n > 0, point(*mean))
+
+
+def centroid(kind: Column, parts: Column) -> Column:
+    """Centroid of any geometry: by area with holes taken out, by length for lines, by count for points.
+
+    parts: polygon, ring, vertices; lines and points have one ring per part. Polygons without area count by the length of their rings.
+    """
+    def placed(ring: Column, i: Column) -> Column:
+        c = ring_centroid(ring)
+        return F.struct(F.when(i == 0, ring_area(ring)).otherwise(-ring_area(ring)).alias("w"), c["x"].alias("x"), c["y"].alias("y"))
+
+    rings = F.flatten(F.transform(parts, lambda polygon: F.transform(polygon, placed)))
+    middle = lambda e: F.struct(F.hypot(e["bx"] - e["ax"], e["by"] - e["ay"]).alias("w"), ((e["ax"] + e["bx"]) / 2).alias("x"), ((e["ay"] + e["by"]) / 2).alias("y"))
+    edges = F.flatten(F.transform(F.flatten(parts), lambda ring: F.transform(ring_edges(ring), middle)))
+    spots = F.transform(F.flatten(F.flatten(parts)), lambda v: F.struct(F.lit(1.0).alias("w"), v["x"].alias("x"), v["y"].alias("y")))
+    area = F.aggregate(rings, F.lit(0.0), lambda s, r: s + r["w"])
+    by_area, by_length, by_count = _weighted(rings), _weighted(edges), _weighted(spots)
+    lines = F.when(F.size(edges) > 0, by_length).otherwise(by_count)
+    return F.when(kind.contains("Polygon"), F.when(area > 0, by_area).otherwise(lines)).when(kind.contains("Line"), lines).otherwise(by_count)
+
+
 def bounding_ring(vertices: Column) -> Column:
     """Closed five-point rectangle around the vertices."""
     xs, ys = F.transform(vertices, lambda v: v["x"]), F.transform(vertices, lambda v: v["y"])
