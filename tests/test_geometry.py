@@ -191,3 +191,14 @@ def test_nested_collections_are_flattened(spark):
         assert row.p is None and "nested deeper" in row.e and len(row.d) == depth + 1
     shallow = nested("FeatureCollection", "features", 2).select(geojson.depth_error(F.col("g")).alias("e"), geojson.features(F.col("g"), deep=True).alias("d")).first()
     assert shallow.e is None and len(shallow.d) == 3
+
+
+def test_few_bytes_of_boxes_are_dealt_over_many_tasks(spark):
+    """The work is in the pairs: small tables must not put them all into the task or two that their bytes ask for."""
+    spots = spark.range(400).select(F.col("id").alias("point_id"), (F.col("id") % 20 * 1000.0).alias("x"), (F.floor(F.col("id") / 20) * 1000.0).alias("y"))
+    x, y = F.col("id") % 20 * 1000.0, F.floor(F.col("id") / 20) * 1000.0
+    corners = F.array(*[geo.point(x + a, y + b) for a, b in ((-9, -9), (9, -9), (9, 9), (-9, 9), (-9, -9))])
+    boxes = geometry.with_extent(spark.range(400).select(F.col("id").alias("site_id"), F.array(corners).alias("rings")))
+    for pairs in (geometry.points_in_polygons(spots, boxes), geometry.meeting_boxes(boxes.drop("edges", "is_area", "rings"), boxes.withColumnRenamed("site_id", "other"))):
+        held = pairs.groupBy(F.spark_partition_id().alias("p")).count().collect()
+        assert sum(r["count"] for r in held) == 400 and len(held) > 8
