@@ -202,3 +202,10 @@ def test_few_bytes_of_boxes_are_dealt_over_many_tasks(spark):
     for pairs in (geometry.points_in_polygons(spots, boxes), geometry.meeting_boxes(boxes.drop("edges", "is_area", "rings"), boxes.withColumnRenamed("site_id", "other"))):
         held = pairs.groupBy(F.spark_partition_id().alias("p")).count().collect()
         assert sum(r["count"] for r in held) == 400 and len(held) > 8
+
+
+def test_centroids_compute_no_ring_twice(spark):
+    """A column named twice in a lambda is computed twice: each ring's sums stand once in the plan for areas, and a few times in all."""
+    rows = spark.createDataFrame([("Polygon",)], "kind string").withColumn("parts", F.array(F.array(F.array(geo.point(F.rand(1), F.rand(2))))))
+    plan = rows.select(geo.centroid(F.col("kind"), F.col("parts")).alias("c"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("aggregate(") <= 25
