@@ -267,3 +267,34 @@ def test_chunk_hits_carry_their_section(spark):
     only = search.hybrid_search(docs, queries, methods=("fulltext",)).collect()
     assert {(r.id, r.source) for r in only} == {(2, "fulltext")}
     assert {r.source for r in search.hybrid_search(docs, queries, None, vectors_, asked, methods=("semantic",)).collect()} == {"semantic"}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_limits_from_glances_keep_the_best_texts(monkeypatch, seed):
+    """The kth best glance is a limit for all tasks; with it few texts are left to sweep, and the best ones stay."""
+    monkeypatch.setattr(wordsim, "BLOCK", 4)
+    monkeypatch.setattr(wordsim, "SECTION", 3 if seed % 2 else 4096)
+    rng = np.random.default_rng(seed)
+    words = ["".join(rng.choice(list("abcde"), rng.integers(1, 6))) for _ in range(40)]
+    asked = pd.DataFrame([(q, " ".join(rng.choice(words, rng.integers(2, 8)))) for q in range(6)], columns=["query_id", "query"])
+    texts = pd.DataFrame([(i, " ".join(rng.choice(words, rng.integers(1, 60)))) for i in range(60)], columns=["id", "content"])
+    texts.loc[::7, "content"] += " " + asked["query"].iloc[0]
+    seen = wordsim.Glances(asked, 3, 0.1)
+    seen.add(texts)
+    kth = seen.rows().groupby("query_id")["score"].agg(["min", "size"]).query("size == 3")["min"]
+    exact = word_similarity_batch(texts, asked, 3, 0.1)
+    assert (seen.rows().merge(exact, on=["query_id", "id"], suffixes=("", "_best")).eval("score <= score_best")).all()
+    swept = []
+    real = wordsim.Text.best
+    monkeypatch.setattr(wordsim.Text, "best", lambda self, index, live, limit: swept.append(len(live)) or real(self, index, live, limit))
+    parts = []
+    for part in (texts[:30], texts[30:]):  # two tasks
+        parts.append(word_similarity_batch(part, asked.merge(kth.rename("limit"), on="query_id", how="left"), 3, 0.1))
+    few = sum(swept)
+    swept.clear()
+    for part in (texts[:30], texts[30:]):
+        word_similarity_batch(part, asked, 3, 0.1)
+    assert few < sum(swept)
+    got = pd.concat(parts).sort_values(["query_id", "score", "id"], ascending=[True, False, True]).groupby("query_id").head(3)
+    want = exact.sort_values(["query_id", "score", "id"], ascending=[True, False, True])
+    assert got.values.tolist() == want.values.tolist()
