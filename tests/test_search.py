@@ -298,3 +298,41 @@ def test_limits_from_glances_keep_the_best_texts(monkeypatch, seed):
     got = pd.concat(parts).sort_values(["query_id", "score", "id"], ascending=[True, False, True]).groupby("query_id").head(3)
     want = exact.sort_values(["query_id", "score", "id"], ascending=[True, False, True])
     assert got.values.tolist() == want.values.tolist()
+
+
+def test_embedding_holds_a_few_calls_at_a_time():
+    import pyarrow as pa
+
+    rows = pa.RecordBatch.from_pydict({"id": list(range(1203)), "text": [f"word{i}" for i in range(1203)]})
+    calls = []
+    embedder = lambda part: calls.append(len(part)) or [[float(len(t))] if t != "word7" else None for t in part]
+    out = list(embed.embed_batches(iter([rows]), embedder, "text", ["id", "text"], ["embedding"], 50))
+    assert max(b.num_rows for b in out) == 50 * embed.CALLS and calls == [50] * 24 + [3]
+    whole = pa.Table.from_batches(out).to_pylist()
+    assert [r["id"] for r in whole] == list(range(1203)) and whole[7]["embedding"] is None and whole[1200]["embedding"] == [8.0]
+
+
+def test_cells_and_scores_are_held_in_slices(spark, monkeypatch):
+    """No table of all rows and all cells, and the same neighbours and cells as at once."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(300)]
+    items = spark.createDataFrame(rows, "id bigint, embedding array<float>")
+    asked = items.where("id % 10 = 0").withColumnRenamed("id", "query_id")
+    index = ann.InvertedFile.build(items, 12)
+    at_once = [sorted(map(tuple, index.search(asked, 5, 4).collect())), sorted(index.visits(asked, 12).select("query_id", "cell", "nearness").collect())]
+    monkeypatch.setattr(ann, "SCORES", 40)
+    in_slices = [sorted(map(tuple, index.search(asked, 5, 4).collect())), sorted(index.visits(asked, 12).select("query_id", "cell", "nearness").collect())]
+    assert at_once == in_slices
+
+
+def test_scores_of_chunks_are_held_in_slices(monkeypatch):
+    rng = np.random.default_rng(4)
+    asked = pd.DataFrame({"query_id": range(8), "embedding": [rng.normal(size=3) for _ in range(8)]})
+    items = pd.DataFrame({"id": np.arange(90) // 3, "chunk_id": range(90), "embedding": [rng.normal(size=3) for _ in range(90)]})
+    whole, sliced = search.BestChunks(asked, 4), search.BestChunks(asked, 4)
+    whole.add(items)
+    monkeypatch.setattr(search, "MAX_SCORES", 80)
+    sizes, real = [], search._unit_rows
+    monkeypatch.setattr(search, "_unit_rows", lambda v, dim: sizes.append(len(v)) or real(v, dim))
+    sliced.add(items)
+    assert max(sizes) == 10 and whole.rows().values.tolist() == sliced.rows().values.tolist()
