@@ -22,6 +22,8 @@ from fjelldoc.session import checkpoint_root
 
 #: Rows that the centroids are fitted on, queries of a calibration, most centroids, components of a part of a cell and of a block of queries.
 SAMPLE, TRIAL, MOST_CELLS, CELL = 50_000, 200, 4096, 1 << 22
+#: Scores that a task holds at once.
+SCORES = 1 << 20
 #: Share of the exact neighbours that a calibration asks for; above the promised 0.9, as other queries may do worse.
 TARGET = 0.95
 
@@ -79,11 +81,15 @@ class InvertedFile:
             import pyarrow as pa
 
             q, v = (np.array(t.column("vector").combine_chunks().flatten().to_numpy()).reshape(t.num_rows, -1) for t in (left, right))
-            scores = np.round(q @ v.T, 6)
             ids, asks = right.column("id").to_numpy(), left.column("query_id").to_numpy()
-            order = np.argsort(ids, kind="stable")
-            top = order[np.argsort(-scores[:, order], axis=1, kind="stable")[:, :k]]
-            return pa.table({"query_id": np.repeat(asks, top.shape[1]), "id": ids[top].ravel(), "score": np.take_along_axis(scores, top, axis=1).ravel()})
+            by_id = np.argsort(ids, kind="stable")
+            ids, v, tables = ids[by_id], v[by_id], []
+            step = max(1, SCORES // max(1, len(v)))
+            for begin in range(0, max(1, len(q)), step):  # a slice's scores at a time
+                scores = np.round(q[begin : begin + step] @ v.T, 6)
+                top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                tables.append(pa.table({"query_id": np.repeat(asks[begin : begin + step], top.shape[1]), "id": ids[top].ravel(), "score": np.take_along_axis(scores, top, axis=1).ravel()}))
+            return pa.concat_tables(tables)
 
         groups = ["cell", "part", "block"]
         found = asked.groupBy(*groups).cogroup(held.groupBy(*groups)).applyInArrow(best, "query_id bigint, id bigint, score double")
@@ -119,10 +125,15 @@ def _cells(rows: DataFrame, centroids: np.ndarray, most: int) -> DataFrame:
 
         c = sent.value
         for batch in batches:
-            v = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            order = np.argsort(-np.round(v @ c.T, 9), axis=1, kind="stable")[:, :most].astype(np.int32)
-            offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * order.shape[1])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vector"), pa.ListArray.from_arrays(offsets, pa.array(order.ravel()))], ["id", "vector", "cells"])
+            step = max(1, SCORES // max(1, len(c)))
+            for begin in range(0, batch.num_rows, step):  # a slice's scores at a time
+                some = batch.slice(begin, step)
+                v = some.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(some.num_rows, -1)
+                near = np.round(v @ c.T, 9)
+                order = near.argmax(axis=1)[:, None] if most == 1 else np.argsort(-near, axis=1, kind="stable")[:, :most]
+                offsets = pa.array(np.arange(some.num_rows + 1, dtype=np.int32) * order.shape[1])
+                cells = pa.ListArray.from_arrays(offsets, pa.array(order.astype(np.int32).ravel()))
+                yield pa.RecordBatch.from_arrays([some.column("id"), some.column("vector"), cells], ["id", "vector", "cells"])
 
     return rows.select("id", "vector").mapInArrow(place, "id bigint, vector array<double>, cells array<int>")
 
