@@ -336,3 +336,15 @@ def test_scores_of_chunks_are_held_in_slices(monkeypatch):
     monkeypatch.setattr(search, "_unit_rows", lambda v, dim: sizes.append(len(v)) or real(v, dim))
     sliced.add(items)
     assert max(sizes) == 10 and whole.rows().values.tolist() == sliced.rows().values.tolist()
+
+
+def test_place_of_the_content_is_found_once_for_a_document(spark):
+    """A title of many words: its words are counted below the explode, not for each word of the content."""
+    docs = spark.createDataFrame([(1, "en " * 3000, "to tre " * 20000)], "id bigint, title string, content string")
+    for config in ("simple", "norwegian"):
+        rows = search.build_postings(docs, config)
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        above, _, below = plan.partition("Generate explode")
+        assert "regexp_extract_all" not in above and "regexp_extract_all" in below
+    last = search.build_postings(docs, "simple").agg(F.max("pos"), F.count("*")).first()
+    assert tuple(last) == (43000, 43000)
