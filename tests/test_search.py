@@ -348,3 +348,18 @@ def test_place_of_the_content_is_found_once_for_a_document(spark):
         assert "regexp_extract_all" not in above and "regexp_extract_all" in below
     last = search.build_postings(docs, "simple").agg(F.max("pos"), F.count("*")).first()
     assert tuple(last) == (43000, 43000)
+
+
+def test_words_of_a_document_are_gathered_where_they_are(spark, monkeypatch):
+    """Texts are moved once, by id; the lists need no exchange of single words, and documents are counted without a distinct."""
+    docs = spark.createDataFrame([(1, "sild torsk", "sild sild makrell"), (2, "laks", "sild laks")], "id bigint, title string, content string")
+    store, plans = PostingsStore.new(spark, "simple", 4), []
+    write = store._write
+    monkeypatch.setattr(store, "_write", lambda rows, *rest: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or write(rows, *rest))
+    number = store.add(docs)
+    initial = plans[0]
+    assert initial.count("Exchange hashpartitioning") == 1 and "hashpartitioning(id" in initial
+    counted = store._read([number], "lexemes", "bucket int, lexeme string, documents bigint")
+    assert {r["lexeme"]: r["documents"] for r in counted.collect()} == {"sild": 2, "torsk": 1, "makrell": 1, "laks": 1}
+    got = {(r["lexeme"], r["id"], r["weight"]): r["positions"] for r in store.postings().collect()}
+    assert got[("sild", 1, "A")] == [1] and got[("sild", 1, "B")] == [3, 4] and got[("laks", 2, "B")] == [3] and len(got) == 7
