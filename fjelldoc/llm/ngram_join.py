@@ -1,8 +1,8 @@
 """N-gram Jaccard join with a count-vector R-tree (operator 9).
 
-Shingles are hashed into `GROUPS` groups, so a text is a point of group counts. The overlap of two texts is at
+Shingles are hashed into `FINE` groups, so a text is a point of group counts. The overlap of two texts is at
 most the sum of the coordinate minima of their points, and that of two leaves at most the sum of the
-minima of their boxes; what the bound lets through is verified on the whole texts.
+minima of their boxes (of `GROUPS` coarser groups); what the bound lets through is verified on the whole texts.
 
 How it is spread: two sets whose Jaccard similarity reaches the threshold share one of their first
 n - ceil(t * n) + 1 shingles in any common order. Shingles of rare words come first, so few texts meet
@@ -23,9 +23,14 @@ from pyspark.sql import functions as F
 
 from fjelldoc.llm.common import Workspace, bounded_batches, slices, utf8
 
+#: Groups of a point: enough that copies with a fifth of their words changed are told from linked ones without their texts.
+FINE = 128
+#: Groups of a box; a point's are the sums of those that fall together.
 GROUPS = 32
 #: Groups of the coarser points that travel with every key.
 COARSE = 8
+#: Lesser keys that a row carries to see that its pair has met before.
+EARLIER = 12
 LEAF = 64
 #: Cells of the word count by hash; a cell's count is an upper bound of its words' counts.
 CELLS = 1 << 18
@@ -118,7 +123,7 @@ def _points(work: Workspace, docs: DataFrame, key: str, text: str, size: int, nu
                     prefix = len(own) - -(-num * len(own) // den) + 1
                     node.append(_node(own))
                     keys.append(own[order[:prefix]].view(np.int64))
-                    points.append(np.bincount((own % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS))
+                    points.append(np.bincount((own % np.uint64(FINE)).astype(np.int64), minlength=FINE))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(key), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(points, pa.list_(pa.int32()))],
                     ["_id", "node", "n", "keys", "point"],
@@ -128,10 +133,15 @@ def _points(work: Workspace, docs: DataFrame, key: str, text: str, size: int, nu
 
 
 def bound(a: Column, b: Column) -> Column:
-    """The greatest overlap two points or boxes allow."""
+    """The greatest overlap two boxes allow."""
     return sum((F.least(a[i], b[i]) for i in range(1, GROUPS)), F.least(a[0], b[0]))
 
 
+def overlap(a: str, b: str) -> Column:
+    """The greatest overlap two points allow; a loop, since written-out minima are too long to be compiled."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda most, x: most + x)
+
+
 def _likely(docs: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     """The rows whose key may be in `wanted`, by a bitmap of BITS bits; an exact join follows."""
     bit = F.pmod(F.xxhash64("_id"), F.lit(BITS))
@@ -251,9 +261,9 @@ def _with_roots(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     return nodes.join(roots.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def _coarse(point: Column, at: int) -> Column:
-    """One coordinate of a point of COARSE groups: the sum of the groups that fall together."""
-    own = [point[i] for i in range(at, GROUPS, COARSE)]
+def _coarse(point: Column, at: int, groups: int = COARSE) -> Column:
+    """One coordinate of a point of fewer groups: the sum of the groups that fall together."""
+    own = [point[i] for i in range(at, FINE, groups)]
     return sum(own[1:], own[0]).cast("bigint")
 
 
@@ -261,11 +271,12 @@ def _other_pairs(work: Workspace, members: DataFrame, nodes: DataFrame, num: int
     """Pairs (a, b) of one key and two components whose sizes, boxes and points allow a link.
 
     Keys of more than LEAF texts are cut into leaves by size, and leaves whose boxes can't link don't meet.
-    A pair that shares several keys meets under the least of them only: each row carries its text's lesser keys.
+    A pair that shares several keys meets under the least of them: each row carries up to EARLIER of its text's lesser
+    keys. A pair whose first common key is not among those may meet more than once, and is one pair at the end.
     """
     c = F.col
     own = members.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("own"))  # at most the keys of one text
-    members = members.join(own, "node").withColumn("earlier", F.slice("own", F.lit(1), F.array_position("own", c("key")).cast("int") - 1)).drop("own")
+    members = members.join(own, "node").withColumn("earlier", F.slice("own", F.lit(1), F.least(F.array_position("own", c("key")).cast("int") - 1, F.lit(EARLIER)))).drop("own")
     coarse = [f"c{i}" for i in range(COARSE)]
     crowd = members.groupBy("key").agg(F.ceil(F.count("*") / LEAF).alias("of"))
     dealt = members.join(nodes.select("node", "n", "point", *[_coarse(c("point"), i).alias(x) for i, x in enumerate(coarse)]), "node").join(crowd, "key")
@@ -274,7 +285,7 @@ def _other_pairs(work: Workspace, members: DataFrame, nodes: DataFrame, num: int
     boxes = (
         leaves.where("crowded")
         .groupBy("key", "leaf")
-        .agg(F.array(*[F.max(c("point")[i]) for i in range(GROUPS)]).alias("box"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("root").alias("root0"), F.max("root").alias("root1"))
+        .agg(F.array(*[F.max(_coarse(c("point"), i, GROUPS)) for i in range(GROUPS)]).alias("box"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("root").alias("root0"), F.max("root").alias("root1"))
     )
     x, y = boxes.alias("x"), boxes.alias("y")
     near = (c("x.key") == c("y.key")) & (c("x.leaf") <= c("y.leaf"))
@@ -288,10 +299,9 @@ def _other_pairs(work: Workspace, members: DataFrame, nodes: DataFrame, num: int
     allowed = (c("ra") != c("rb")) & ((c("leaf") != c("other")) | (c("a") < c("b"))) & (den * c("n") >= num * c("m")) & (den * c("m") >= num * c("n"))
     minima = [F.least(c(f"a{x}"), c(f"b{x}")) for x in coarse]
     allowed &= (num + den) * sum(minima[1:], minima[0]) >= num * (c("n") + c("m"))
-    # the few pairs left by the coarse sums meet the whole points; a loop, since 32 written-out minima are too long to be compiled
-    overlap = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.least(x, y)), F.lit(0), lambda most, x: most + x)
-    allowed &= (num + den) * overlap >= num * (c("n") + c("m"))
     allowed &= ~F.arrays_overlap("ea", "eb")
+    # the few pairs left by the coarse sums meet the whole points
+    allowed &= (num + den) * overlap("pa", "pb") >= num * (c("n") + c("m"))
     pairs = meeting.join(left, ["key", "leaf"]).join(right, ["key", "other"]).where(allowed)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -304,7 +314,7 @@ def _within_bound(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> Dat
 
     n, m = F.col("n_a"), F.col("n_b")
     described = pairs.join(side("a"), "a").join(side("b"), "b").where((den * n >= num * m) & (den * m >= num * n))
-    return described.where((num + den) * bound(F.col("p_a"), F.col("p_b")) >= num * (n + m)).select("a", "b")
+    return described.where((num + den) * overlap("p_a", "p_b") >= num * (n + m)).select("a", "b")
 
 
 def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, num: int = 90, den: int = 100) -> DataFrame:

@@ -251,6 +251,22 @@ def test_ngram_join(spark, docs, none, size, num):
     assert not ngram_join.near_components(none).collect()
 
 
+def test_copies_below_the_threshold_are_told_apart_by_their_points(spark, monkeypatch):
+    """Copies of one text with every fiftieth word changed share many keys, but no pair of them links."""
+    base, compared = prose(400).split(), []
+    rows = [(i, " ".join(rng.choice(VOCABULARY) if rng.random() < 0.02 else w for w in base)) for i in range(24)]
+    real = ngram_join._verified
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return real(pairs, *rest)
+
+    monkeypatch.setattr(ngram_join, "_verified", counted)
+    got = ngram_join.near_components(frame(spark, rows)).collect()
+    assert Counter(map(tuple, got)) == components_by_brute_force(rows, 3, 90, 100)
+    assert sum(compared) <= 60  # of 276 pairs
+
+
 def test_near_copies_leave_one(docs):
     kept = Counter(r.doc_id for r in ngram_join.without_near_copies(docs).collect())
     assert kept[6] == 2 and not {7, 8, 9, 10} & set(kept) and {1, 2, 3, 4, 11, None} <= set(kept)
