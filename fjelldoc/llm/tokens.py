@@ -8,6 +8,8 @@ Results equal those of the library on the whole text (tests/llm/test_operators.p
 from __future__ import annotations
 
 import re
+from array import array
+from sys import byteorder
 
 #: Words a memo may hold before it is emptied.
 MEMO_WORDS = 500_000
@@ -19,6 +21,8 @@ class WordIds:
     """Ids of a `tokenizers` file whose pre-tokenizer drops white space; little-endian unsigned 32-bit."""
 
     kind = "<u4"
+    _code = "I"
+    _marks = frozenset(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
     _latin = re.compile(r"[a-zß-öø-ÿ!-&(-/:-@\[-`{-~]+")
     _runs = re.compile(r"[a-zß-öø-ÿ]+|[^a-zß-öø-ÿ]+")
 
@@ -29,29 +33,42 @@ class WordIds:
         self.np = np
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        normal, special = self.tokenizer.normalizer, self.tokenizer.get_added_tokens_decoder().values()
+        self.folds = normal is not None and normal.normalize_str("AZ") == "az" and all("<" in t.content for t in special)
         self.words: dict[bytes, bytes] = {}
-        self.runs: dict[str, list[int]] = {}
+        self.runs: dict[bytes, bytes] = {}
         # byte-level models write each byte as a printable character: itself, or the next one from 256 on
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = (b for b in range(256) if b not in shown)
         self.byte_char = {**{b: chr(b) for b in shown}, **{b: chr(256 + i) for i, b in enumerate(hidden)}}
 
-    def _run(self, run: str) -> list[int]:
+    def _run(self, run: bytes) -> bytes:
         ids = self.runs.get(run)
         if ids is None:
-            shown = run if run.isascii() else "".join(map(self.byte_char.__getitem__, run.encode()))
-            ids = self.runs[run] = [t.id for t in self.model.tokenize(shown)]
+            shown = run.decode() if run.isascii() else "".join(map(self.byte_char.__getitem__, run))
+            made = array(self._code, [t.id for t in self.model.tokenize(shown)])
+            if byteorder == "big":
+                made.byteswap()
+            ids = self.runs[run] = made.tobytes()
         return ids
 
     def _learn(self, missing: set[bytes]) -> dict[bytes, bytes]:
-        """Latin letters and punctuation go to the model run by run; the rest through the whole tokenizer."""
-        found, rest = {}, []
+        """Latin letters and punctuation go to the model run by run; the rest through the whole tokenizer.
+
+        Most words are letters of ASCII, or those and one mark: they need no look at their characters.
+        """
+        found, rest, run, marks = {}, [], self._run, self._marks
         for word in missing:
+            if word.isalpha():
+                found[word] = run(word.lower())
+                continue
+            if word[-1] in marks and word[:-1].isalpha():
+                found[word] = run(word[:-1].lower()) + run(word[-1:])
+                continue
             text = word.decode("utf-8", "replace")
             low = text.lower()
             if "<|" not in text and self._latin.fullmatch(low):
-                ids = [i for run in self._runs.findall(low) for i in self._run(run)]
-                found[word] = self.np.array(ids, self.kind).tobytes()
+                found[word] = b"".join([run(part.encode()) for part in self._runs.findall(low)])
             else:
                 rest.append(word)
         encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False)
@@ -59,10 +76,16 @@ class WordIds:
             found[word] = self.np.array(e.ids, self.kind).tobytes()
         return found
 
+    def _folded(self, text: bytes) -> bytes:
+        """A-Z lower-cased ahead of the normalizer that does so, where no special string and no combining mark needs them as they are."""
+        return text.lower() if self.folds and b"<" not in text and b"\xcc" not in text else text
+
     def __call__(self, texts: list[bytes | None]) -> list[bytes]:
-        split = [(t or b"").replace(b"\n", b" ").split(b" ") for t in texts]
-        if len(self.words) > MEMO_WORDS or len(self.runs) > MEMO_WORDS:
-            self.words, self.runs = {b"": b""}, {}
+        split = [self._folded(t or b"").replace(b"\n", b" ").split(b" ") for t in texts]
+        if len(self.runs) > MEMO_WORDS:
+            self.runs = {}
+        if len(self.words) > MEMO_WORDS:  # runs outlast words: most are parts of several
+            self.words = {}
         words = self.words
         words[b""] = b""
         found = self._learn(set().union(*split) - words.keys())
@@ -78,6 +101,7 @@ class NarrowIds(WordIds):
     """The same as unsigned 16-bit, for vocabularies whose ids fit."""
 
     kind = "<u2"
+    _code = "H"
 
 
 class PieceCounts:

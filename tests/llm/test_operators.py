@@ -60,6 +60,18 @@ def test_tokens_equal_the_libraries():
     assert tokens.PieceCounts(PIECE_FILE)(raw) == [len(pieces.encode(t)) for t in odd]
 
 
+def test_words_are_learned_once_whatever_their_case():
+    from tokenizers import Tokenizer
+
+    whole, encode = Tokenizer.from_file(WORD_FILE), tokens.WordIds(WORD_FILE)
+    texts = ["Word word, WORD WORD, H\u0331an h\u0331an", "Word word, WORD WORD", "a <|endoftext|> A <|ENDOFTEXT|>", "Ünder ünder ÜNDER"]
+    got = encode([t.encode() for t in texts])
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    plain = tokens.WordIds(WORD_FILE)
+    plain([t.encode() for t in ("Word word, WORD WORD,", "wOrd, worD")])
+    assert set(plain.words) == {b"", b"word", b"word,"}
+
+
 def test_shard_tree(docs, none):
     tree, grown = shard_tree.layout(16), shard_tree.layout(17)
     rows = shard_tree.assign_shards(docs, "doc_id", tree, grown).collect()
