@@ -18,13 +18,15 @@ id takes part, and its component is the smallest id among the others (null if th
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fjelldoc.llm.common import Workspace, bounded_batches, slices, utf8
 
 #: Groups of a point: enough that copies with a fifth of their words changed are told from linked ones without their texts.
 FINE = 128
+#: The most that a coordinate shows, so that it is one byte; what a text has above it is `over`, one number a text.
+SHOWN = 127
 #: Groups of a box; a point's are the sums of those that fall together.
 GROUPS = 32
 #: Groups of the coarser points that travel with every key.
@@ -93,7 +95,7 @@ def _word_cells(docs: DataFrame, text: str) -> np.ndarray:
 
 
 def _points(work: Workspace, docs: DataFrame, key: str, text: str, size: int, num: int, den: int) -> DataFrame:
-    """_id, node (hash of the set), n, keys (the shingles it may be found by) and point for each row."""
+    """_id, node (hash of the set), n, keys (the shingles it may be found by), point and over for each row."""
     weights = np.minimum(np.round(1.5 * np.log2(1 + _word_cells(docs, text))), 63).astype(np.uint64)
     sent = docs.sparkSession.sparkContext.broadcast(weights)
     kind = docs.schema[key].dataType.simpleString()
@@ -104,7 +106,7 @@ def _points(work: Workspace, docs: DataFrame, key: str, text: str, size: int, nu
         rarity = sent.value
         for batch in batches:
             for part in slices(batch, text):
-                node, n, keys, points = [], [], [], []
+                node, n, keys, points, over = [], [], [], [], []
                 for t in utf8(part.column(text)):
                     h = _hashes.of(t)
                     own, first = np.unique(shingles(h, size), return_index=True)
@@ -113,6 +115,7 @@ def _points(work: Workspace, docs: DataFrame, key: str, text: str, size: int, nu
                         node.append(None)
                         keys.append([])
                         points.append([])
+                        over.append(0)
                         continue
                     common = rarity[(h >> np.uint64(46)).astype(np.int64)]
                     width = min(size, len(h))
@@ -123,13 +126,15 @@ def _points(work: Workspace, docs: DataFrame, key: str, text: str, size: int, nu
                     prefix = len(own) - -(-num * len(own) // den) + 1
                     node.append(_node(own))
                     keys.append(own[order[:prefix]].view(np.int64))
-                    points.append(np.bincount((own % np.uint64(FINE)).astype(np.int64), minlength=FINE))
+                    point = np.minimum(np.bincount((own % np.uint64(FINE)).astype(np.int64), minlength=FINE), SHOWN)
+                    points.append(point.astype(np.int8))
+                    over.append(len(own) - int(point.sum()))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(key), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(points, pa.list_(pa.int32()))],
-                    ["_id", "node", "n", "keys", "point"],
+                    [part.column(key), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(points, pa.list_(pa.int8())), pa.array(over, pa.int64())],
+                    ["_id", "node", "n", "keys", "point", "over"],
                 )
 
-    return work.written(docs.select(key, text).mapInArrow(describe, f"_id {kind}, node long, n long, keys array<long>, point array<int>"), "points")
+    return work.written(docs.select(key, text).mapInArrow(describe, f"_id {kind}, node long, n long, keys array<long>, point array<tinyint>, over long"), "points")
 
 
 def bound(a: Column, b: Column) -> Column:
@@ -138,12 +143,17 @@ def bound(a: Column, b: Column) -> Column:
 
 
 def overlap(a: str, b: str) -> Column:
-    """The greatest overlap two points allow; a loop, since written-out minima are too long to be compiled."""
+    """The greatest overlap two points allow, but for what they don't show; a loop, since written-out minima are too long to be compiled."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda most, x: most + x)
 
 
 def _likely(docs: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """The rows whose key may be in `wanted`, by a bitmap of BITS bits; an exact join follows."""
+    """The rows whose key may be among the `_id` of `wanted`; an exact join follows."""
+    return docs.where(_may_be(docs, key, wanted))
+
+
+def _may_be(docs: DataFrame, key: str, wanted: DataFrame) -> Column:
+    """Whether a key may be among the `_id` of `wanted`, by a bitmap of BITS bits: false is certain, true is not."""
     bit = F.pmod(F.xxhash64("_id"), F.lit(BITS))
     rows = wanted.select((bit + 1).alias("b")).groupBy(F.bitmap_bucket_number("b").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits")).collect()  # BITS / 32768 rows
     table = {r["bucket"]: bytes(r["bits"]) for r in rows}
@@ -161,7 +171,7 @@ def _likely(docs: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
             out[mine] = np.frombuffer(own, np.uint8)[at // 8] >> (at % 8) & 1
         return pd.Series(out)
 
-    return docs.where(may_be(F.pmod(F.xxhash64(key), F.lit(BITS))))
+    return may_be(F.pmod(F.xxhash64(key), F.lit(BITS)))
 
 
 class Texts:
@@ -263,8 +273,8 @@ def _with_roots(nodes: DataFrame, roots: DataFrame) -> DataFrame:
 
 def _coarse(point: Column, at: int, groups: int = COARSE) -> Column:
     """One coordinate of a point of fewer groups: the sum of the groups that fall together."""
-    own = [point[i] for i in range(at, FINE, groups)]
-    return sum(own[1:], own[0]).cast("bigint")
+    own = [point[i].cast("bigint") for i in range(at, FINE, groups)]
+    return sum(own[1:], own[0])
 
 
 def _other_pairs(work: Workspace, members: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
@@ -275,46 +285,54 @@ def _other_pairs(work: Workspace, members: DataFrame, nodes: DataFrame, num: int
     keys. A pair whose first common key is not among those may meet more than once, and is one pair at the end.
     """
     c = F.col
-    own = members.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("own"))  # at most the keys of one text
-    members = members.join(own, "node").withColumn("earlier", F.slice("own", F.lit(1), F.least(F.array_position("own", c("key")).cast("int") - 1, F.lit(EARLIER)))).drop("own")
     coarse = [f"c{i}" for i in range(COARSE)]
     crowd = members.groupBy("key").agg(F.ceil(F.count("*") / LEAF).alias("of"))
-    dealt = members.join(nodes.select("node", "n", "point", *[_coarse(c("point"), i).alias(x) for i, x in enumerate(coarse)]), "node").join(crowd, "key")
+    own = members.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("own"))  # at most the keys of one text
+    earlier = F.slice("own", F.lit(1), F.least(F.array_position("own", c("key")).cast("int") - 1, F.lit(EARLIER)))
     leaf = F.floor(F.log(c("n").cast("double")) * 10) * (1 << 24) + F.pmod(F.xxhash64("node"), c("of"))
-    leaves = work.written(dealt.select("key", "node", "root", "n", "point", "earlier", *coarse, F.when(c("of") > 1, leaf).otherwise(F.lit(0)).alias("leaf"), (c("of") > 1).alias("crowded")), "leaves")
-    boxes = (
-        leaves.where("crowded")
-        .groupBy("key", "leaf")
-        .agg(F.array(*[F.max(_coarse(c("point"), i, GROUPS)) for i in range(GROUPS)]).alias("box"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("root").alias("root0"), F.max("root").alias("root1"))
+    # keys first and points last, so that points are moved by text and not once a key
+    dealt = members.join(crowd, "key").join(own, "node").join(nodes.select("node", "n", "point", "over", *[_coarse(c("point"), i).alias(x) for i, x in enumerate(coarse)]), "node")
+    dealt = dealt.select("key", "node", "root", "n", "point", "over", earlier.alias("earlier"), *coarse, F.when(c("of") > 1, leaf).otherwise(F.lit(0)).alias("leaf"), (c("of") > 1).alias("crowded"))
+    leaves = work.written(dealt, "leaves")
+
+    def allowed(a: str, b: str) -> Column:
+        x, y = (lambda name: c(f"{a}.{name}")), (lambda name: c(f"{b}.{name}"))
+        unseen, wanted = F.least(x("over"), y("over")), num * (x("n") + y("n"))
+        minima = [F.least(x(name), y(name)) for name in coarse]
+        able = (x("root") != y("root")) & (den * x("n") >= num * y("n")) & (den * y("n") >= num * x("n"))
+        able &= (num + den) * (sum(minima, unseen)) >= wanted
+        able &= ~F.arrays_overlap(x("earlier"), y("earlier"))
+        # the few pairs left by the coarse sums meet the whole points
+        return able & ((num + den) * (overlap(f"{a}.point", f"{b}.point") + unseen) >= wanted)
+
+    found = [F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")]
+    # texts of a key that is no crowd meet at once: both sides are one shuffle
+    few = leaves.where("not crowded").drop("leaf", "crowded")
+    pairs = few.alias("a").join(few.alias("b"), c("a.key") == c("b.key")).where((c("a.node") < c("b.node")) & allowed("a", "b")).select(*found)
+    many = leaves.where("crowded").drop("crowded")
+    boxes = many.groupBy("key", "leaf").agg(
+        F.array(*[F.max(_coarse(c("point"), i, GROUPS)) for i in range(GROUPS)]).alias("box"), F.max("over").alias("over"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("root").alias("root0"), F.max("root").alias("root1")
     )
     x, y = boxes.alias("x"), boxes.alias("y")
     near = (c("x.key") == c("y.key")) & (c("x.leaf") <= c("y.leaf"))
     near &= (den * c("x.most") >= num * c("y.least")) & (den * c("y.most") >= num * c("x.least"))
-    near &= (num + den) * bound(c("x.box"), c("y.box")) >= num * (c("x.least") + c("y.least"))
+    near &= (num + den) * (bound(c("x.box"), c("y.box")) + F.least("x.over", "y.over")) >= num * (c("x.least") + c("y.least"))
     near &= (c("x.root0") != c("x.root1")) | (c("y.root0") != c("y.root1")) | (c("x.root0") != c("y.root0"))
     meeting = x.join(y, near).select(c("x.key").alias("key"), c("x.leaf").alias("leaf"), c("y.leaf").alias("other"))
-    meeting = meeting.unionByName(leaves.where("not crowded").select("key", "leaf", c("leaf").alias("other")).distinct())
-    left = leaves.select("key", "leaf", c("node").alias("a"), c("n").alias("n"), c("root").alias("ra"), c("point").alias("pa"), c("earlier").alias("ea"), *[c(x).alias(f"a{x}") for x in coarse])
-    right = leaves.select("key", c("leaf").alias("other"), c("node").alias("b"), c("n").alias("m"), c("root").alias("rb"), c("point").alias("pb"), c("earlier").alias("eb"), *[c(x).alias(f"b{x}") for x in coarse])
-    allowed = (c("ra") != c("rb")) & ((c("leaf") != c("other")) | (c("a") < c("b"))) & (den * c("n") >= num * c("m")) & (den * c("m") >= num * c("n"))
-    minima = [F.least(c(f"a{x}"), c(f"b{x}")) for x in coarse]
-    allowed &= (num + den) * sum(minima[1:], minima[0]) >= num * (c("n") + c("m"))
-    allowed &= ~F.arrays_overlap("ea", "eb")
-    # the few pairs left by the coarse sums meet the whole points
-    allowed &= (num + den) * overlap("pa", "pb") >= num * (c("n") + c("m"))
-    pairs = meeting.join(left, ["key", "leaf"]).join(right, ["key", "other"]).where(allowed)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sides = meeting.alias("m").join(many.alias("a"), (c("m.key") == c("a.key")) & (c("m.leaf") == c("a.leaf")))
+    sides = sides.join(many.alias("b"), (c("m.key") == c("b.key")) & (c("m.other") == c("b.leaf"))).where(((c("m.leaf") != c("m.other")) | (c("a.node") < c("b.node"))) & allowed("a", "b"))
+    return pairs.unionByName(sides.select(*found)).distinct()
 
 
 def _within_bound(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs whose sizes and points allow a link."""
 
     def side(name: str) -> DataFrame:
-        return nodes.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("point").alias(f"p_{name}"))
+        return nodes.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("point").alias(f"p_{name}"), F.col("over").alias(f"o_{name}"))
 
     n, m = F.col("n_a"), F.col("n_b")
     described = pairs.join(side("a"), "a").join(side("b"), "b").where((den * n >= num * m) & (den * m >= num * n))
-    return described.where((num + den) * overlap("p_a", "p_b") >= num * (n + m)).select("a", "b")
+    return described.where((num + den) * (overlap("p_a", "p_b") + F.least("o_a", "o_b")) >= num * (n + m)).select("a", "b")
 
 
 def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -324,9 +342,11 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     rows = docs.select(key, text)
     points = _points(work, rows, key, text, size, num, den)
     keyed = points.where("n > 0").select("node", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
-    members = work.written(keyed.join(shared, "key").distinct(), "members")
-    described = points.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min_by(F.struct("n", "point"), F.coalesce("_id", F.lit(0))).alias("d"), F.min("_id").alias("_id"))
+    # one shuffle of the keys, not one to find the shared ones and another to meet them
+    of_key = Window.partitionBy("key")
+    shared = keyed.withColumns({"lo": F.min("node").over(of_key), "hi": F.max("node").over(of_key)}).where("lo < hi")
+    members = work.written(shared.select("node", "key").distinct(), "members")
+    described = points.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min_by(F.struct("n", "point", "over"), F.coalesce("_id", F.lit(0))).alias("d"), F.min("_id").alias("_id"))
     nodes = work.written(described.select("node", "d.*", "_id"), "nodes")
     texts = Texts(rows, key, text, nodes, size, nodes.where("_id is null").limit(1).count() > 0)
     # a star per key around the text that shares the most keys: an original, if the others are its copies

@@ -279,6 +279,28 @@ def test_copies_below_the_threshold_are_told_apart_by_their_points(spark, monkey
     assert sum(compared) <= 60  # of 276 pairs
 
 
+def test_keys_are_shuffled_once(spark, docs, monkeypatch):
+    plans, real = {}, ngram_join.Workspace.written
+
+    def seen(self, df, name, **options):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return real(self, df, name, **options)
+
+    monkeypatch.setattr(ngram_join.Workspace, "written", seen)
+    ngram_join.near_components(docs).collect()
+    assert plans["members"].count("Exchange hashpartitioning") == 1
+
+
+def test_counts_past_a_byte(spark):
+    """Texts with more than 127 shingles in a group of their point, linked and not, and a key of more than LEAF of them."""
+    base = [f"{rng.choice(VOCABULARY)}{rng.randrange(900)}" for _ in range(24_000)]
+    rows = [(i, " ".join(rng.choice(VOCABULARY) if rng.random() < share else w for w in base)) for i, share in enumerate([0, 0.01, 0.016, 0.02, 0.05])]
+    short = prose(60).split()
+    rows += [(10 + i, " ".join([*short[:50], *rng.sample(VOCABULARY, 6)])) for i in range(ngram_join.LEAF + 6)]
+    got = ngram_join.near_components(frame(spark, rows)).collect()
+    assert Counter(map(tuple, got)) == components_by_brute_force(rows, 3, 90, 100)
+
+
 def test_near_copies_leave_one(docs):
     kept = Counter(r.doc_id for r in ngram_join.without_near_copies(docs).collect())
     assert kept[6] == 2 and not {7, 8, 9, 10} & set(kept) and {1, 2, 3, 4, 11, None} <= set(kept)
