@@ -314,6 +314,13 @@ def test_near_copies_leave_one_row(spark):
     assert kept[None, c] + kept[None, c + " tail"] == 1
 
 
+def test_only_rows_that_may_go_are_moved(docs):
+    """The rows that the exact list of dropped ones meets are thinned first; the others stay where they lie."""
+    plan = ngram_join.without_near_copies(docs)._jdf.queryExecution().optimizedPlan().toString()
+    joined = plan.split("Join LeftAnti")
+    assert len(joined) == 2 and "may_be" in joined[0] and "may_be" in joined[1]
+
+
 def test_leaks(spark, docs, none):
     items = spark.createDataFrame([(1, ITEM), (2, prose(40)), (3, None), (4, ""), (5, ITEM), (None, "x y z"), (6, "Short one.")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.found_leaks(docs, items).collect()}
