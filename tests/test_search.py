@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from fjelldoc.functions import vectors
 from fjelldoc.operators import ann, embed, search, wordsim
 from fjelldoc.operators.postings import PostingsStore
@@ -363,3 +364,9 @@ def test_words_of_a_document_are_gathered_where_they_are(spark, monkeypatch):
     assert {r["lexeme"]: r["documents"] for r in counted.collect()} == {"sild": 2, "torsk": 1, "makrell": 1, "laks": 1}
     got = {(r["lexeme"], r["id"], r["weight"]): r["positions"] for r in store.postings().collect()}
     assert got[("sild", 1, "A")] == [1] and got[("sild", 1, "B")] == [3, 4] and got[("laks", 2, "B")] == [3] and len(got) == 7
+
+
+def test_chunks_are_embedded_once_for_their_hits(spark):
+    """Neither the hits' cover of documents nor their fields embed the chunks again."""
+    plan = entry.queries()["chunk_hits_with_fields"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow partial(document_id") == 1
