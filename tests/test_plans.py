@@ -31,3 +31,9 @@ def test_unused_columns_are_not_read(spark, name, unread):
     schemas = [line for line in plan(spark, name).split("\n") if "ReadSchema" in line]
     assert schemas and all(unread not in line.split("ReadSchema")[1] for line in schemas)
 
+
+
+def test_nearest_polygon_deals_its_pairs_over_a_fixed_number_of_tasks(spark):
+    """Few bytes of points and cells make many pairs: each window and the last join have an explicit number of tasks."""
+    plan = entry.queries()["nearest_polygon"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression [point_id") == 4 and plan.count("RepartitionByExpression [px") == 2
