@@ -209,3 +209,46 @@ def test_centroids_compute_no_ring_twice(spark):
     rows = spark.createDataFrame([("Polygon",)], "kind string").withColumn("parts", F.array(F.array(F.array(geo.point(F.rand(1), F.rand(2))))))
     plan = rows.select(geo.centroid(F.col("kind"), F.col("parts")).alias("c"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("aggregate(") <= 25
+
+
+def _spots_and_shapes(spark, n=300, m=90, seed=8):
+    """Points, some of them on one place, and triangles, concave and open shapes of all sizes, two with an edge of no length."""
+    rng = np.random.default_rng(seed)
+    spots = [(i, *([500.0, 500.0] if i % 10 == 0 else rng.uniform(0, 4000, 2).tolist())) for i in range(n)]
+    shapes_ = []
+    for i in range(m):
+        turn = np.sort(rng.uniform(0, 2 * math.pi, int(rng.integers(3, 9))))
+        ring = rng.uniform(0, 4000, 2) + rng.choice([20.0, 300.0, 2500.0]) * rng.uniform(0.2, 1, len(turn))[:, None] * np.column_stack([np.cos(turn), np.sin(turn)])
+        ring = np.vstack([ring, ring[:1], ring[:1]] if i % 40 == 0 else [ring, ring[:1]])
+        shapes_.append((1000 - i, f"s{i}", [[tuple(map(float, p)) for p in ring]], i % 7 != 0))
+    points = spark.createDataFrame(spots, "point_id long, x double, y double")
+    sites = spark.createDataFrame(shapes_, f"site_id long, name string, rings array<array<{geo.POINT}>>, area boolean")
+    return points, geometry.with_extent(sites, is_area=F.col("area")).drop("rings", "area")
+
+
+def _all_pairs(points, sites):
+    exact = geo.distance_to(F.col("edges"), F.col("is_area"), F.col("x"), F.col("y"))
+    return [(r.point_id, r.site_id, r.d) for r in points.crossJoin(sites).select("point_id", "site_id", exact.alias("d")).collect()]
+
+
+def test_probes_get_their_nearest_sites_up_to_the_limit(spark, monkeypatch):
+    from fjelldoc.operators import blocks
+
+    lonlat = geo.unproject_vertices(F.array(geo.point(F.col("x") + 300_000, F.col("y") + 6_600_000)))
+    points, sites = _spots_and_shapes(spark, 200, 120)
+    moved = sites.select("site_id", "is_area", *[(F.col(c) + (300_000 if c.endswith("x") else 6_600_000)).alias(c) for c in blocks.BOX], F.transform("edges", lambda e: F.struct((e["ax"] + 300_000).alias("ax"), (e["ay"] + 6_600_000).alias("ay"), (e["bx"] + 300_000).alias("bx"), (e["by"] + 6_600_000).alias("by"))).alias("edges"))
+    probes = points.select(F.col("point_id").alias("probe_id"), F.explode(lonlat).alias("p"), F.when(F.col("point_id") % 50 == 7, 5.0).otherwise(100.0 + F.col("point_id") * 10).alias("distance")).select("probe_id", F.col("p.x").alias("lon"), F.col("p.y").alias("lat"), "distance")
+    placed = geometry.project_points(probes)
+    reach = {r.probe_id: r.distance for r in probes.collect()}
+    want = {}
+    for p, s, d in _all_pairs(placed.withColumnRenamed("probe_id", "point_id"), moved):
+        if round(d, 3) <= reach[p] and reach[p] >= 10:
+            want.setdefault(p, []).append((round(d, 3), s))
+    for block, crowd in ((1000, 20_000), (5, 3)):
+        monkeypatch.setattr(blocks, "BLOCK", block)
+        monkeypatch.setattr(blocks, "CROWD", crowd)
+        got = {}
+        for r in geometry.buffer_search(probes, moved, 6).orderBy("probe_id", "rank").collect():
+            got.setdefault(r.probe_id, []).append((r.metres, r.site_id))
+            assert r.rank == len(got[r.probe_id])
+        assert got == {p: sorted(v)[:6] for p, v in want.items()}
