@@ -252,3 +252,21 @@ def test_probes_get_their_nearest_sites_up_to_the_limit(spark, monkeypatch):
             got.setdefault(r.probe_id, []).append((r.metres, r.site_id))
             assert r.rank == len(got[r.probe_id])
         assert got == {p: sorted(v)[:6] for p, v in want.items()}
+
+
+def test_a_point_under_many_polygons_tries_few(spark):
+    """Polygons over one place are tried by id until one holds the point."""
+    import pyarrow as pa
+
+    from fjelldoc.operators import blocks
+
+    corners = [(0.0, 0.0), (9.0, 0.0), (9.0, 9.0), (0.0, 9.0), (0.0, 0.0)]
+    edges = [{"ax": a[0], "ay": a[1], "bx": b[0], "by": b[1]} for a, b in zip(corners, corners[1:])]
+    n = 3000
+    right = pa.table({"site_id": list(range(n, 0, -1)), "min_x": [0.0] * n, "max_x": [9.0] * n, "min_y": [0.0] * n, "max_y": [9.0] * n, "is_area": [True] * n, "edges": [edges] * n})
+    left = pa.table({"x": [4.0, 5.0], "y": [4.0, 5.0], "reach": [1e-6, 1e-6]})
+    sites, tried = blocks.Sites(right), []
+    whole = sites.distances
+    sites.distances = lambda x, y, some: tried.append(len(some)) or whole(x, y, some)
+    found = [(i, right["site_id"][int(j)].as_py()) for a, b, _ in blocks.covering("site_id")(sites, left, right) for i, j in zip(a.tolist(), b.tolist())]
+    assert sorted(found) == [(0, 1), (1, 1)] and sum(tried) <= 16
