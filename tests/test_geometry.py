@@ -231,6 +231,24 @@ def _all_pairs(points, sites):
     return [(r.point_id, r.site_id, r.d) for r in points.crossJoin(sites).select("point_id", "site_id", exact.alias("d")).collect()]
 
 
+def test_blocks_hold_the_pairs_of_brute_force(spark, monkeypatch):
+    """Distances, the nearest within each probe's reach and the covering polygon, in blocks of any size and cut into parts."""
+    from fjelldoc.operators import blocks
+
+    points, sites = _spots_and_shapes(spark)
+    far = _all_pairs(points, sites)
+    monkeypatch.setattr(blocks, "BLOCK", 20)
+    monkeypatch.setattr(blocks, "CROWD", 7)
+    got = geometry.within_distance(points, sites, 150.0).collect()
+    want = {(p, s): d for p, s, d in far if d <= 150.0}
+    assert len(got) == len(want) and all(r.distance == pytest.approx(want[r.point_id, r.site_id], abs=1e-9) for r in got) and all(r.name == f"s{1000 - r.site_id}" for r in got)
+    nearest = {}
+    for p, s, d in far:
+        nearest[p] = min(nearest.get(p, (math.inf, 0)), (round(d, 6), s))
+    found = geometry.nearest_polygon(points, sites, "site_id").collect()
+    assert {r.point_id: (r.distance, r.site_id) for r in found} == nearest and len(found) == 300
+
+
 def test_probes_get_their_nearest_sites_up_to_the_limit(spark, monkeypatch):
     from fjelldoc.operators import blocks
 
@@ -254,6 +272,15 @@ def test_probes_get_their_nearest_sites_up_to_the_limit(spark, monkeypatch):
         assert got == {p: sorted(v)[:6] for p, v in want.items()}
 
 
+@pytest.mark.parametrize("name", ["distance_join", "buffer_search"])
+def test_pairs_are_made_in_blocks(spark, name):
+    """No pair of a point and an edge list is a row of a join: blocks meet the geometries, their pairs are numpy tables."""
+    import __spark_entry__ as entry
+
+    plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan or "FlatMapCoGroupsInPandas" in plan
+
+
 def test_a_point_under_many_polygons_tries_few(spark):
     """Polygons over one place are tried by id until one holds the point."""
     import pyarrow as pa
