@@ -370,3 +370,24 @@ def test_chunks_are_embedded_once_for_their_hits(spark):
     """Neither the hits' cover of documents nor their fields embed the chunks again."""
     plan = entry.queries()["chunk_hits_with_fields"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow partial(document_id") == 1
+
+
+def test_added_words_are_not_moved_again_and_hits_gather_theirs_once(spark, monkeypatch):
+    """Words lie where their text was dealt to; only a merge deals them by bucket. A search brings a document's words together by id alone."""
+    docs = spark.createDataFrame([(i, f"sild torsk {i}", "sild sild makrell laks") for i in range(40)], "id bigint, title string, content string")
+    kind, dealt = type(docs), []
+    whole = kind.repartition
+    monkeypatch.setattr(kind, "repartition", lambda self, *cols: dealt.append([c for c in cols if isinstance(c, str) and c == "bucket"]) or whole(self, *cols))
+    store = PostingsStore.new(spark, "simple", 4)
+    store.add(docs.where("id < 30"))
+    store.add(docs.where("id >= 20"))
+    assert sum(dealt, []) == []
+    asked = spark.createDataFrame([(1, "sild laks"), (2, "torsk"), (3, "hval"), (4, "makrell 7")], "query_id bigint, query string")
+    plan = store.scores(asked)._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.split("\n") if "Exchange hashpartitioning(query_id" in line]
+    assert not any(", id#" in line for line in exchanges)
+    before = sorted((r.query_id, r.id, r.score) for r in store.scores(asked).collect())
+    assert [sum(1 for q, *_ in before if q == n) for n in (1, 2, 3, 4)] == [40, 40, 0, 1]
+    store.merge()
+    assert sum(dealt, []) == ["bucket"]
+    assert sorted((r.query_id, r.id, r.score) for r in store.scores(asked).collect()) == before
