@@ -297,3 +297,30 @@ def test_a_point_under_many_polygons_tries_few(spark):
     sites.distances = lambda x, y, some: tried.append(len(some)) or whole(x, y, some)
     found = [(i, right["site_id"][int(j)].as_py()) for a, b, _ in blocks.covering("site_id")(sites, left, right) for i, j in zip(a.tolist(), b.tolist())]
     assert sorted(found) == [(0, 1), (1, 1)] and sum(tried) <= 16
+
+
+@pytest.mark.parametrize("name, function", [("polygon_intersections", "_overlap_udf"), ("line_intersections", "_segment_udf")])
+def test_rings_go_to_the_clipping_as_they_are(spark, name, function):
+    """No interpreted function of arrays takes the rings of a pair apart, before or after they are clipped."""
+    import __spark_entry__ as entry
+
+    plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    above, found, _ = plan.partition(f"ArrowEvalPython [{function}")
+    line = plan[len(above) :].split("\n")[0]
+    assert found and "transform(" not in line and "transform(" not in above and "aggregate(" not in above
+
+
+def test_convex_overlaps_of_open_closed_and_other_rings(spark):
+    square = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)]
+    moved = [(x + 4, y + 4) for x, y in square]
+    dent = [(0.0, 0.0), (10.0, 0.0), (5.0, 2.0), (5.0, 10.0), (0.0, 0.0)]
+    box = {"min_x": F.array_min(F.transform("ring", lambda v: v["x"])), "max_x": F.array_max(F.transform("ring", lambda v: v["x"])), "min_y": F.array_min(F.transform("ring", lambda v: v["y"])), "max_y": F.array_max(F.transform("ring", lambda v: v["y"]))}
+    frame = lambda rows, key: spark.createDataFrame(rows, f"{key} int, ring array<{geo.POINT}>").withColumns(box)
+    left = frame([(1, square), (2, [*square, square[0]]), (3, square[::-1]), (4, dent), (5, [(90.0, 90.0), (91.0, 90.0), (91.0, 91.0)])], "a")
+    right = frame([(1, [*moved, moved[0]])], "b").withColumnRenamed("ring", "other")
+    got = {r.a: r for r in shapes.intersections(left, right, "ring", "other").withColumn("area", shapes.ring_area("overlap")).collect()}
+    assert {k: r.area for k, r in got.items()} == {1: 36.0, 2: 36.0, 3: 36.0, 4: None} and got[4].error == shapes.UNSUPPORTED
+    assert all(r.overlap[0] == r.overlap[-1] and len(r.overlap) == 5 for k, r in got.items() if k < 4)
+    lines = frame([(1, [(0.0, 5.0), (20.0, 5.0)]), (2, [(0.0, 0.0), (5.0, 0.0)]), (3, [(4.0, 0.0), (4.0, 20.0)])], "a")
+    cut = {r.a: [tuple(v) for v in r.overlap] for r in shapes.line_intersections(lines, right, "ring", "other").collect()}
+    assert cut == {1: [(4.0, 5.0), (14.0, 5.0)], 3: [(4.0, 4.0), (4.0, 14.0)]}
